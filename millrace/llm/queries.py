@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from millrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from millrace.llm.quality import op3_quality
 from millrace.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": OP7_SQL,
+}

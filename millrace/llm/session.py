@@ -61,3 +61,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty; other columns, whatever their names, go."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+#: A group with more than 1 / HEAVY of all rows is heavy, so at most HEAVY groups are.
+HEAVY = 1000
+#: Rows that a broadcast may have where no other bound is known; beyond it a shuffled join is used.
+BROADCAST_ROWS = 2_000_000
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows left-joined to groups (one row a key, all of more than one member) without a hot key in any task.
+
+    Groups of more than total / HEAVY rows are at most HEAVY, so they are broadcast; the
+    rows of all others meet their group in a shuffled join, in which no key is large.
+    Both frames are read twice and should be checkpointed.
+    """
+    least = max(64, total // HEAVY)
+    heavy = groups.filter(F.col(size) > least)
+    light = groups.filter(F.col(size) <= least)
+    few = heavy.select(*keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(few), keys, "left_anti").join(light, keys, "left"))
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df, which should be checkpointed, has at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
