@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from millrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from millrace.llm.licenses import OP5_SQL, op5_license_scan
+from millrace.llm.mixing import OP4_SQL, op4_mixing
+from millrace.llm.pii import op2_pii
 from millrace.llm.quality import op3_quality
 from millrace.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
+    "op5_license_scan": op5_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
