@@ -9,7 +9,9 @@ from millrace.llm.licenses import OP5_SQL, op5_license_scan
 from millrace.llm.mixing import OP4_SQL, op4_mixing
 from millrace.llm.pii import op2_pii
 from millrace.llm.quality import op3_quality
+from millrace.llm.sentencepiece_codec import op6_sentencepiece
 from millrace.llm.toxicity import op1_toxicity
+from millrace.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable] = {
     "op1_toxicity": op1_toxicity,
@@ -17,11 +19,14 @@ QUERIES: dict[str, Callable] = {
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_license_scan": op5_license_scan,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op5_license_scan": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
