@@ -7,6 +7,7 @@ from collections.abc import Callable
 from millrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from millrace.llm.licenses import OP5_SQL, op5_license_scan
 from millrace.llm.mixing import OP4_SQL, op4_mixing
+from millrace.llm.near_dedup import op10_near_dedup
 from millrace.llm.pii import op2_pii
 from millrace.llm.quality import op3_quality
 from millrace.llm.sentencepiece_codec import op6_sentencepiece
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

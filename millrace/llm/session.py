@@ -69,18 +69,18 @@ HEAVY = 1000
 BROADCAST_ROWS = 2_000_000
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows left-joined to groups (one row a key, all of more than one member) without a hot key in any task.
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined to groups (one row a key, of groups with more than one member) without a hot key in any task.
 
     Groups of more than total / HEAVY rows are at most HEAVY, so they are broadcast; the
     rows of all others meet their group in a shuffled join, in which no key is large.
-    Both frames are read twice and should be checkpointed.
+    Both frames are read twice and should be checkpointed. how: left or inner.
     """
     least = max(64, total // HEAVY)
     heavy = groups.filter(F.col(size) > least)
     light = groups.filter(F.col(size) <= least)
     few = heavy.select(*keys)
-    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(few), keys, "left_anti").join(light, keys, "left"))
+    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(few), keys, "left_anti").join(light, keys, how))
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
