@@ -99,7 +99,7 @@ KEYS = ["n_bytes", "h1", "h2", "clash"]
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
+    """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, n_bytes, and x, a hash of the text.
 
     Texts are equal when identical after no change; null counts as empty, and empty
     texts are equal to one another. Of equal texts that with the largest doc_id stays.
@@ -127,7 +127,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         groups = cut(_groups(prints))
     found = attach(prints, groups, KEYS, "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_bytes")
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_bytes", "x")
+
+
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each text: that which exact_duplicates keeps."""
+    found = cut(exact_duplicates(docs))
+    gone = cut(found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("x").alias("gone_x")))
+    marked = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = marked.join(F.broadcast(gone) if small_enough(gone) else gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (F.col("__x") == F.col("gone_x")), "left_anti")
+    if docs.count() > found.count():  # rows repeated with id and text
+        left = left.dropDuplicates(["doc_id", "__x"])
+    return left.drop("__x")
 
 
 def _groups(prints: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.session import attach, cut, table
+from millrace.llm.session import attach, cut, small_enough, table
 
 LEAF = ["domain", "lang", "source"]
 #: Production parameters: weights (1 where none is given), the share of the corpus's tokens to take, epochs and seed.
@@ -121,6 +121,15 @@ def mix(docs: DataFrame, domain: Column | None = None, share=BUDGET_SHARE, epoch
     return sure.unionByName(close)
 
 
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """docs, all columns, each row as often as the mix holds it."""
+    taken = mix(docs, **parameters).filter("copies > 0").groupBy(F.col("doc_id").alias("taken_id"), F.col("x").alias("taken_x")).agg(F.max("copies").alias("__copies"))
+    taken = cut(taken)
+    marked = docs.withColumn("__x", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = marked.join(F.broadcast(taken) if small_enough(taken) else taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("taken_id")) & (F.col("__x") == F.col("taken_x")))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op4_mixing(spark, sf_dir):
     """Every document and how often the production mix holds it."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", F.col("copies").cast("bigint").alias("copies"), "leaf_granted")

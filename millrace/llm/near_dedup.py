@@ -289,6 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one document of each component; rows without words or id stay."""
+    gone = cut(near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")))
+    return docs.join(F.broadcast(gone) if small_enough(gone) else gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
+
+
 def op10_near_dedup(spark, sf_dir):
     """Every document's component of near duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))

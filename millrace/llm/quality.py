@@ -169,6 +169,22 @@ def score(docs: DataFrame, model: NaiveBayesSVM) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: NaiveBayesSVM, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose text scores below least."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    weights, bias, slope, shift = model.weights.astype(np.float32), model.bias, model.slope, model.shift
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = NaiveBayesSVM(weights, bias, slope, shift)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(place))
+            p = own.probabilities(own.margins(*features(data, offsets), len(offsets) - 1))
+            yield batch.filter(pa.array(p >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Labelled documents of either class that the production model is fitted on.
 PER_CLASS = 2500
 

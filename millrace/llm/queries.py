@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from millrace.llm.embedding_dedup import op9_embedding_dedup
 from millrace.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from millrace.llm.licenses import OP5_SQL, op5_license_scan
 from millrace.llm.mixing import OP4_SQL, op4_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 

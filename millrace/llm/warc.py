@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.session import attach, cut, shared_folder, small_batches, table
+from millrace.llm.session import attach, cut, remove, shared_folder, small_batches, table
 
 #: Bytes read from a file at a time.
 PIECE = 1 << 18
@@ -282,12 +282,6 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     return cut(normalise_files(decided.repartition("file").sortWithinPartitions("file", "position"), mono, folder))
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the cluster's file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def op8_warc(spark, sf_dir):
     """Every page's record, as read back from the archives it was written to."""
     folder = shared_folder(spark, "warc")
