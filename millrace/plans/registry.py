@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "segment_profile"
+from millrace.plans import incidents, joining, ranking, texts
 
-
-def _segment_profile(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count().withColumnRenamed("count", "n")
-
-
-QUERIES: dict[str, Callable] = {"segment_profile": _segment_profile}
-
-ORACLE_SQL: dict[str, str] = {"segment_profile": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"}
+MODULES = (texts, joining, ranking, incidents)
+FLAGSHIP = "incident_alerts"
+QUERIES: dict[str, Callable] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
