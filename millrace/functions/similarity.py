@@ -46,12 +46,13 @@ def within_days(a, b, days: int) -> Column:
 
 def time_close(a, b, days: int) -> Column:
     """1 at once, falling to 0 at days; one half if either time is null."""
-    return F.coalesce(1 - F.least(gap_seconds(a, b) / DAY, F.lit(float(days))) / days, F.lit(0.5))
+    gap = gap_seconds(a, b)
+    return F.when(gap.isNull(), 0.5).otherwise(1 - F.least(gap / DAY, F.lit(float(days))) / days)
 
 
 def time_closeness(days) -> Column:
     """1 / (1 + gap), to 6 places; 0 for a null gap."""
-    return F.bround(F.coalesce(1 / (1 + F.greatest(F.lit(0.0), col(days))), F.lit(0.0)), 6)
+    return F.when(col(days).isNull(), 0.0).otherwise(F.bround(1 / (1 + F.greatest(F.lit(0.0), col(days))), 6))
 
 
 @F.pandas_udf(T.DoubleType())

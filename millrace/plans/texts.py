@@ -134,7 +134,7 @@ def event_gaps(spark, sf_dir):
 
 
 EVENT_GAPS = """WITH e AS (SELECT event_id, date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros FROM events)
-SELECT event_id, micros, coalesce(micros <= 86400000000, false) AS within_day, coalesce(1 - least(micros / 1e6 / 86400, 7) / 7, 0.5) >= 0.9 AS close, coalesce(1 / (1 + greatest(0, round(micros / 1e6 / 86400, 4))), 0) >= 0.5 AS near FROM e"""
+SELECT event_id, micros, coalesce(micros <= 86400000000, false) AS within_day, CASE WHEN micros IS NULL THEN 0.5 ELSE 1 - least(micros / 1e6 / 86400, 7) / 7 END >= 0.9 AS close, micros IS NOT NULL AND 1 / (1 + greatest(0, round(micros / 1e6 / 86400, 4))) >= 0.5 AS near FROM e"""
 
 
 def masked_subjects(spark, sf_dir):
