@@ -24,6 +24,8 @@ from millrace.llm.toxicity import fit_logistic, labelled_sample
 
 #: Hashed features are numbered below 2**BITS.
 BITS = 18
+#: Documents of either class that calibration on held documents needs; with fewer, all are fitted and calibrate.
+ENOUGH = 25
 REPEATED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -114,7 +116,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, mixi
         share = float(np.mean(y)) if len(rows) else 0.5
         return NaiveBayesSVM(np.zeros(size), 0.0, 0.0, 5.0 if share >= 0.5 else -5.0)
     train = np.arange(len(rows)) % held != 0
-    if len(set(y[train].tolist())) < 2 or len(set(y[~train].tolist())) < 2:
+    if min(np.bincount(y[~train], minlength=2)) < ENOUGH or min(np.bincount(y[train], minlength=2)) < ENOUGH:
         train[:] = True
     p, q = np.full(size, smoothing), np.full(size, smoothing)
     for r, label, own in zip(rows, y, train):

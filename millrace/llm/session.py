@@ -1,46 +1,19 @@
-"""Session helpers shared by the corpus operators."""
+"""Session helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import attach, cut, remove, shared_folder, small_enough, table
+
+__all__ = ["attach", "cut", "documents", "fold", "remove", "shared_folder", "small_batches", "small_enough", "table"]
+
 #: Rows and bytes in one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (single-machine tests) is a folder chosen here.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; its lineage ends there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that long texts don't fill a worker's memory."""
     conf = spark.conf
@@ -54,41 +27,6 @@ def fold(doc_id: Column, buckets: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(buckets)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty; other columns, whatever their names, go."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-#: A group with more than 1 / HEAVY of all rows is heavy, so at most HEAVY groups are.
-HEAVY = 1000
-#: Rows that a broadcast may have where no other bound is known; beyond it a shuffled join is used.
-BROADCAST_ROWS = 2_000_000
-
-
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "left") -> DataFrame:
-    """rows joined to groups (one row a key, of groups with more than one member) without a hot key in any task.
-
-    Groups of more than total / HEAVY rows are at most HEAVY, so they are broadcast; the
-    rows of all others meet their group in a shuffled join, in which no key is large.
-    Both frames are read twice and should be checkpointed. how: left or inner.
-    """
-    least = max(64, total // HEAVY)
-    heavy = groups.filter(F.col(size) > least)
-    light = groups.filter(F.col(size) <= least)
-    few = heavy.select(*keys)
-    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(few), keys, "left_anti").join(light, keys, how))
-
-
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df, which should be checkpointed, has at most so many rows."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the cluster's file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

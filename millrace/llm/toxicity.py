@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.session import documents, fold, small_batches, table
+from millrace.llm.session import cut, documents, fold, small_batches, table
 
 # Closed word classes in English, German, French and Spanish.
 THREATS = frozenset("kill hurt destroy murder shoot stab burn strangle töte schlage vernichte tuer frapper détruire matar golpear destruir".split())
@@ -232,7 +232,7 @@ def fit(sample: DataFrame, min_share: float = 0.02, min_ratio: float = 15.0, max
     An empty sample, or one of a single class, gives a grammar without learned words.
     """
     counts = sample.select("text", "y").mapInArrow(_document_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = cut_small(counts)
+    counts = cut(counts)
     sizes = counts.filter("feature = ''").collect()
     n_clean, n_toxic = (sizes[0]["clean"] or 0, sizes[0]["toxic"] or 0) if sizes else (0, 0)
     if not n_clean or not n_toxic:
@@ -252,12 +252,6 @@ def fit(sample: DataFrame, min_share: float = 0.02, min_ratio: float = 15.0, max
     return Grammar(grammar.insults, grammar.stems, slope, min(intercept, -0.1))
 
 
-def cut_small(df: DataFrame) -> DataFrame:
-    from millrace.llm.session import cut
-
-    return cut(df)
-
-
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score, predicted, n_clauses (matched), heaviest (clause weight).
 
@@ -286,6 +280,6 @@ def op1_toxicity(spark, sf_dir):
     small_batches(spark)
     docs = documents(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
-    grammar = fit(cut_small(labelled_sample(docs, labels, "toxic", PER_CLASS)))
+    grammar = fit(cut(labelled_sample(docs, labels, "toxic", PER_CLASS)))
     out = score(docs, grammar)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_clauses", "heaviest")
