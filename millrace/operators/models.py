@@ -13,6 +13,7 @@ from millrace import lexicon as L
 from millrace.functions.similarity import title_similarity
 from millrace.operators.metrics import class_weights
 from millrace.operators.ranking import best_threshold
+from millrace.session import cut
 
 #: Hashed features of the n-grams.
 FEATURES = 1 << 15
@@ -27,7 +28,7 @@ def word_grams(c, low: int = 2, high: int = 4):
 
 def classifier(algorithm: str):
     if algorithm == "logistic":
-        return LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=40, regParam=1e-3)
+        return LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=25, regParam=1e-3)
     if algorithm == "svc":
         return OneVsRest(classifier=LinearSVC(maxIter=20, regParam=1e-3), featuresCol="features", labelCol="index")
     if algorithm == "boosted":
@@ -42,7 +43,7 @@ def text_model(train: DataFrame, column: str, label: str, algorithm: str = "logi
     model is None and predicted() answers that class.
     """
     grams = lambda df: df.withColumn("grams", word_grams(F.col(column)))
-    labelled = grams(train.filter(F.col(label).isNotNull()))
+    labelled = cut(grams(train.filter(F.col(label).isNotNull()).select(column, label)))  # read several times, and n-grams cost most
     kinds = labelled.select(label).distinct().limit(2).collect()
     if len(kinds) < 2:
         return {"model": None, "constant": kinds[0][0] if kinds else None, "column": column}

@@ -39,8 +39,12 @@ def subject_time_edges(articles: DataFrame, window_days: int = 7, most: int = 20
     best = kept.groupBy("right_article_id", "left_article_id").agg(F.max(F.struct("shared", (-F.col("gap")).alias("near"))).alias("best"))
     per_article = W.partitionBy("right_article_id").orderBy(F.desc("best"), F.desc("left_article_id"))
     chosen = best.withColumn("k", F.row_number().over(per_article)).filter(F.col("k") <= most).select("left_article_id", "right_article_id")
-    common = pairs.join(chosen, ["left_article_id", "right_article_id"]).groupBy("left_article_id", "right_article_id")
-    return common.agg(F.array_sort(F.collect_set("code")).alias("shared_codes"), F.max("shared").alias("subject_score"), F.min("gap").alias("gap"))
+    # what the ends have in common is found on their own few subjects, not by joining all pairs again
+    own = articles.filter(F.col("ts").isNotNull() & F.col("code").isNotNull()).groupBy("article_id").agg(F.collect_list(F.struct("code", "score")).alias("c"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"))
+    ends = chosen.join(own.select(F.col("article_id").alias("left_article_id"), F.col("c").alias("l"), F.col("at").alias("left_at")), "left_article_id").join(own.select(F.col("article_id").alias("right_article_id"), F.col("c").alias("r"), F.col("at").alias("right_at")), "right_article_id")
+    shared = F.flatten(F.transform("l", lambda x: F.transform(F.filter("r", lambda y: y["code"] == x["code"]), lambda y: F.struct(x["code"].alias("code"), F.least(x["score"], y["score"]).alias("score")))))
+    both = ends.withColumn("shared", shared)
+    return both.select("left_article_id", "right_article_id", F.array_sort(F.array_distinct(F.transform("shared", lambda s: s["code"]))).alias("shared_codes"), F.array_max(F.transform("shared", lambda s: s["score"])).alias("subject_score"), (F.col("right_at") - F.col("left_at")).alias("gap"))
 
 
 def workload(articles: DataFrame, code: str, time: str, window_days: int, top_k: int) -> DataFrame:
