@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import choose_two, harmonic
+from millrace.operators.ordering import ordered
 
 
 def ratio(a, b, empty: float = 0.0):
@@ -149,7 +150,7 @@ def margin_profile(rows: DataFrame, quantiles: Sequence[float]) -> DataFrame:
 
 def oracle_frontier(rows: DataFrame, key: str, quantiles: Sequence[float]) -> DataFrame:
     """rows (key, truth, predicted, margin): accuracy if the lowest-margin share of rows were corrected."""
-    placed = rows.withColumn("place", F.row_number().over(W.orderBy("margin", key))).withColumn("all", F.count(F.lit(1)).over(W.partitionBy()))
+    placed = ordered(rows, F.col("margin"), F.col(key)).crossJoin(rows.agg(F.count(F.lit(1)).alias("all")))  # one row
     spread = placed.withColumn("quantile", F.explode(F.array(*(F.lit(q) for q in quantiles))))
     fixed = F.col("place") <= F.floor(F.col("quantile") * F.col("all"))
     return spread.groupBy("quantile").agg(F.count_if(fixed).alias("corrected"), F.count_if(fixed | (F.col("truth") == F.col("predicted"))).alias("right"), F.count(F.lit(1)).alias("rows"))

@@ -26,6 +26,41 @@ def earlier_pairs(rows: DataFrame, code: str, key: str, time: str, window_days:
     return left.join(right, [code, "bucket"]).filter(before & (F.col("right_at") - F.col("left_at") <= window_days * DAY_MICROS)).withColumn("gap", F.col("right_at") - F.col("left_at")).drop("bucket")
 
 
+#: A window is cut into 2 ** LEVELS grains for the search for the best earlier rows.
+LEVELS = 8
+
+
+def best_earlier(rows: DataFrame, code: str, key: str, time: str, score: str, window_days: int, most: int) -> DataFrame:
+    """(code, left, left_at, left_score, right, right_at, right_score): of each row the `most` best earlier ones of its code within the window.
+
+    Best by score, then oldest, then key; earlier is by time, then key. A row's window is
+    made of whole dyadic spans of time, of which only the `most` best rows can matter,
+    and of two grains at its ends, whose rows are looked at one by one. So a row meets some
+    2 * LEVELS * most rows and two grains, however many its code has in the window.
+    """
+    window = window_days * DAY_MICROS
+    grain = max(1, window >> LEVELS)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    base = rows.filter(F.col(time).isNotNull() & F.col(code).isNotNull()).select(F.col(code).alias("code"), F.col(key).alias("id"), at.alias("at"), F.col(score).alias("score")).withColumn("grain", F.floor(F.col("at") / grain))
+    order = [F.desc("score"), F.asc("at"), F.asc("id")]
+    levels = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("node", F.expr("shiftright(grain, level)"))
+    nodes = levels.withColumn("k", F.row_number().over(W.partitionBy("code", "level", "node").orderBy(*order))).filter(F.col("k") <= most)
+    left = [F.col("id").alias("left"), F.col("at").alias("left_at"), F.col("score").alias("left_score")]
+    right = base.select("code", F.col("id").alias("right"), F.col("at").alias("right_at"), F.col("score").alias("right_score"), "grain", F.floor((F.col("at") - window) / grain).alias("first"))
+    # whole grains are first + 1 .. grain - 1; on each level an odd end stands for itself, the rest for their parents
+    spans = []
+    for level in range(LEVELS + 1):
+        low, high = F.floor((F.col("first") + 2**level) / 2**level), F.floor(F.col("grain") / 2**level)
+        spans += [F.when((low < high) & (low % 2 != 0), F.struct(F.lit(level).alias("level"), low.alias("node"))), F.when((low < high) & (high % 2 != 0), F.struct(F.lit(level).alias("level"), (high - 1).alias("node")))]
+    out = ["code", "left", "left_at", "left_score", "right", "right_at", "right_score"]
+    whole = right.withColumn("span", F.explode(F.array_compact(F.array(*spans)))).select("code", "right", "right_at", "right_score", "span.level", "span.node").join(nodes.select("code", "level", "node", *left), ["code", "level", "node"]).select(*out)
+    ends = right.withColumn("grain", F.explode(F.array("grain", "first"))).join(base.select("code", "grain", *left), ["code", "grain"])
+    before = (F.col("left_at") < F.col("right_at")) | ((F.col("left_at") == F.col("right_at")) & (F.col("left") < F.col("right")))
+    ends = ends.filter(before & (F.col("right_at") - F.col("left_at") <= window)).select(*out)
+    best = W.partitionBy("code", "right").orderBy(F.desc("left_score"), "left_at", "left")
+    return whole.unionByName(ends).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).drop("k")
+
+
 def subject_time_edges(articles: DataFrame, window_days: int = 7, most: int = 20) -> DataFrame:
     """articles (article_id, code, ts, score), a row per candidate subject -> the edges of each article to earlier ones of its subjects.
 
@@ -33,12 +68,10 @@ def subject_time_edges(articles: DataFrame, window_days: int = 7, most: int = 20
     subjects its `most` best (smaller score of the two, nearest, larger id). Edges carry
     all common subjects and the best smaller score.
     """
-    pairs = earlier_pairs(articles, "code", "article_id", "ts", window_days, "score").withColumn("shared", F.least("left_score", "right_score"))
-    per_subject = W.partitionBy("code", "right_article_id").orderBy(F.desc("left_score"), "left_at", "left_article_id")
-    kept = pairs.withColumn("k", F.row_number().over(per_subject)).filter(F.col("k") <= most)
-    best = kept.groupBy("right_article_id", "left_article_id").agg(F.max(F.struct("shared", (-F.col("gap")).alias("near"))).alias("best"))
-    per_article = W.partitionBy("right_article_id").orderBy(F.desc("best"), F.desc("left_article_id"))
-    chosen = best.withColumn("k", F.row_number().over(per_article)).filter(F.col("k") <= most).select("left_article_id", "right_article_id")
+    kept = best_earlier(articles, "code", "article_id", "ts", "score", window_days, most)
+    best = kept.groupBy("right", "left").agg(F.max(F.struct(F.least("left_score", "right_score").alias("shared"), (F.col("left_at") - F.col("right_at")).alias("near"))).alias("best"))
+    per_article = W.partitionBy("right").orderBy(F.desc("best"), F.desc("left"))
+    chosen = best.withColumn("k", F.row_number().over(per_article)).filter(F.col("k") <= most).select(F.col("left").alias("left_article_id"), F.col("right").alias("right_article_id"))
     # what the ends have in common is found on their own few subjects, not by joining all pairs again
     own = articles.filter(F.col("ts").isNotNull() & F.col("code").isNotNull()).groupBy("article_id").agg(F.collect_list(F.struct("code", "score")).alias("c"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"))
     ends = chosen.join(own.select(F.col("article_id").alias("left_article_id"), F.col("c").alias("l"), F.col("at").alias("left_at")), "left_article_id").join(own.select(F.col("article_id").alias("right_article_id"), F.col("c").alias("r"), F.col("at").alias("right_at")), "right_article_id")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import running
+
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group in an order; Spark keeps k rows a group before the shuffle."""
@@ -193,18 +195,15 @@ def majority(votes: DataFrame, row: str = "row", label: str = "label") -> DataFr
 def margin_threshold(df: DataFrame, margin: str, hit: str, precision: float, support: int) -> DataFrame:
     """The smallest margin such that rows at or above it are right often enough and many enough; one row, null if there is none."""
     by_margin = df.groupBy(margin).agg(F.sum(F.col(hit).cast("bigint")).alias("hits"), F.count(F.lit(1)).alias("n"))
-    down = W.orderBy(F.desc(margin))  # one row per distinct margin
-    running = by_margin.select(margin, F.sum("hits").over(down).alias("hits"), F.sum("n").over(down).alias("n"))
     good = (F.col("hits") >= precision * F.col("n")) & (F.col("n") >= support)
-    return running.filter(good).agg(F.min(margin).alias("threshold"), F.max("n").alias("support"), F.min_by("hits", margin).alias("hits"))
+    return running(by_margin, F.desc(margin), "hits", "n").filter(good).agg(F.min(margin).alias("threshold"), F.max("n").alias("support"), F.min_by("hits", margin).alias("hits"))
 
 
 def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The score threshold of the best (F1, precision, accuracy, threshold), with its counts; one row."""
     totals = df.agg(F.sum(F.col(label).cast("bigint")).alias("positives"), F.count(F.lit(1)).alias("rows"))
-    by_score = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = W.orderBy(F.desc("threshold"))
-    swept = by_score.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("predicted")).crossJoin(F.broadcast(totals))  # totals is one row
+    by_score = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("predicted"))
+    swept = running(by_score, F.desc("threshold"), "tp", "predicted").crossJoin(F.broadcast(totals))  # totals is one row
     swept = swept.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("positives") - F.col("tp")).withColumn("tn", F.col("rows") - F.col("positives") - F.col("fp"))
     key = F.struct((2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"), (F.col("tp") / F.col("predicted")).alias("precision"), ((F.col("tp") + F.col("tn")) / F.col("rows")).alias("accuracy"), "threshold")
     return swept.agg(F.max_by(F.struct("threshold", "tp", "fp", "fn", "tn"), key).alias("best")).select("best.*")

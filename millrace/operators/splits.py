@@ -2,7 +2,7 @@
 
 Shuffles are replaced by SHA-256 order of (seed, key), which is the same everywhere.
 Splits by a share of all rows need the rows' global order: it is found by ranks within
-ranges (`ordered`), so no task sorts everything.
+ranges (`ordering.ordered`), so no task sorts everything.
 """
 
 from __future__ import annotations
@@ -12,18 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_rank
+from millrace.operators.ordering import ordered
 from millrace.session import cut
 
 
-def ordered(df: DataFrame, *order) -> DataFrame:
-    """df with `place`, 1 for the first row of the order: ranks within range partitions plus the sizes of those before."""
-    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).select("__part", "__before")  # a row per partition
-    local = parts.withColumn("__local", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    return local.join(F.broadcast(before), "__part").withColumn("place", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
-
-
 def time_split(df: DataFrame, time: str, key: str, ratio: float = 0.8) -> DataFrame:
     """side train for the first share in time (nulls last), valid for the rest; of two rows and more both have some."""
     n = df.count()

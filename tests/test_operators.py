@@ -246,3 +246,29 @@ def test_agent_metrics_and_bootstrap(spark):
     assert worst["label"] in ("a", "b")
     ctx = clustering.group_contexts(spark.createDataFrame([("g", "1", "7", "t", "c", T, "l"), ("g", "2", "7", "t", "c", T, "m"), ("h", "3", "", "", "", T, "l")], "group string, id string, code string, title string, content string, ts timestamp_ntz, label string"), spark.createDataFrame([("7", "甲乙")], "code string, name string"))
     assert [(r["group"], r["n"], r["label"], r["subject"]) for r in ctx.collect()] == [("g", 2, "l", "7")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_earlier_equals_a_plain_search(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    spread = r.choice([3, 30, 3000])
+    rows = [(i, r.choice("ab"), T + datetime.timedelta(minutes=r.randint(-spread * 40, spread * 40)), float(r.randint(0, 5))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, code string, ts timestamp_ntz, s double")
+    window, most = datetime.timedelta(days=1), 3
+    found = {}
+    for x in pairs.best_earlier(df, "code", "id", "ts", "s", 1, most).collect():
+        found.setdefault(x["right"], set()).add(x["left"])
+    for i, c, t, _ in rows:
+        earlier = sorted((-s, u, j) for j, d, u, s in rows if d == c and (u, j) < (t, i) and t - u <= window)
+        assert found.get(i, set()) == {j for _, _, j in earlier[:most]}
+
+
+def test_running_sums_and_places(spark):
+    from millrace.operators.ordering import ordered, running
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit(2).alias("v")).repartition(7)
+    assert all(r["v"] == 2 * (1000 - r["k"]) for r in running(df, F.desc("k"), "v").collect())
+    assert all(r["place"] == r["k"] + 1 for r in ordered(df, F.col("k")).collect())
+    assert running(df.limit(0), F.col("k"), "v").count() == 0
