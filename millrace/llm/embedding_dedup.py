@@ -1,7 +1,7 @@
 """Near-duplicate vectors: cross-polytope hashing with multiprobe buckets and verified pairs.
 
 Equal vectors of a label become one class with a multiplicity, so copies cost nothing
-further. A class is rotated TABLES times by three rounds of random signs and a fast
+further. For each table a class is rotated by three rounds of random signs and a fast
 Hadamard transform; the coordinate of the largest magnitude, with its sign, is the
 nearest vertex of the cross-polytope and names the vector's home bucket (a tuple of
 `hashes` independent vertices does). Besides its home every vector is put into the
@@ -29,13 +29,29 @@ from millrace.llm.session import attach, cut, small_batches, table
 from millrace.operators.components import components
 
 THRESHOLD = 0.98
-#: With these a pair at the threshold in 64 dimensions shares no bucket with a chance of 0.00002.
-TABLES, PROBES = 2, 4
-#: Vertices in a bucket's name: 1 for up to some 500,000 vectors of a label; each more divides buckets by twice the dimension and needs more probes.
-VERTICES = 1
+#: Nearest vertices that are tried for each vertex of a bucket's name. In 64 dimensions a pair at
+#: the threshold then shares a bucket of one table with a chance of 0.996 for names of one vertex
+#: and of 0.99 for names of two.
+PROBES = 4
+TABLES = {1: 2}
+MORE_TABLES = 3
+#: Vectors that a bucket name's first vertex is meant to divide; each further vertex divides by twice the dimension.
+DIVIDED = 500_000
 BLOCK = 512
 
 
+def plan(largest: int, dimension: int) -> tuple[int, int]:
+    """(vertices of a bucket's name, tables) for so many distinct vectors of one label.
+
+    Names grow with the logarithm of the vectors, so that buckets don't; the chance to miss
+    a pair stays below 0.00002.
+    """
+    vertices = 1
+    while largest > DIVIDED * (2 * dimension) ** (vertices - 1):
+        vertices += 1
+    return vertices, TABLES.get(vertices, MORE_TABLES)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The Walsh-Hadamard transform of each row, whose length is a power of two."""
     n = x.shape[1]
@@ -58,7 +74,7 @@ def rotated(unit: np.ndarray, number: int) -> np.ndarray:
     return x
 
 
-def buckets(unit: np.ndarray, number: int, vertices: int = VERTICES, probes: int = PROBES) -> np.ndarray:
+def buckets(unit: np.ndarray, number: int, vertices: int = 1, probes: int = PROBES) -> np.ndarray:
     """(rows, probes) bucket names of one table; the first is the home. -1 where there are fewer."""
     count = len(unit)
     names, losses = np.zeros((count, 1), np.int64), np.zeros((count, 1))
@@ -147,7 +163,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float, vertices: int,
         yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(links[at].astype(np.int64)), pa.array(root[at])], ["node", "links", "root"])
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, vertices: int = VERTICES, probes: int = PROBES) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, vertices: int | None = None, probes: int = PROBES) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept.
 
     Vectors are compared only when their labels are equal and not null, and their lengths
@@ -167,6 +183,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     # one vector of each class; ids may be repeated
     held = rows.filter("sound").withColumn("k1", F.xxhash64("embedding")).join(classes.select("label", "k1", "copies", "node", F.col("node").alias("vec_id")), ["label", "k1", "vec_id"]).select("node", "label", "embedding", "copies").dropDuplicates(["node", "label"])
     held = cut(held)
+    sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    planned = plan(sizes["n"] or 0, sizes["d"] or 1)
+    vertices, tables = vertices or planned[0], tables or planned[1]
     placed = cut(held.select("node", "label", "embedding").mapInArrow(partial(_place, tables=tables, vertices=vertices, probes=probes), "node long, label string, size long, tbl int, bucket long, home boolean"))
     name = ["label", "size", "tbl", "bucket"]
     full = placed.groupBy(*name).agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("any_home")).filter("members > 1 AND any_home").drop("any_home")

@@ -97,7 +97,11 @@ def test_recall_of_buckets():
     x = e.unit_rows(r.normal(size=(4000, 64)))
     y = np.array([near(r, v, math.acos(0.98)) for v in x])
     met = np.zeros(4000, bool)
-    for t in range(e.TABLES):
+    for t in range(e.plan(4000, 64)[1]):
         a, b = e.buckets(x, t), e.buckets(y, t)
         met |= (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
     assert met.mean() > 0.999
+
+
+def test_names_grow_with_the_logarithm_of_the_vectors():
+    assert e.plan(0, 1) == (1, 2) and e.plan(500_000, 64) == (1, 2) and e.plan(500_001, 64)[0] == 2 and e.plan(10**9, 64) == (3, 3)
