@@ -100,9 +100,9 @@ def scored_pairs(rows: DataFrame, block: list[str], window_days: int = 7) -> Dat
 
     An empty block list compares everything with everything: only for inputs known small.
     """
-    left = rows.select(*block, *(F.col(c).alias(f"l_{c}") for c in rows.columns if c not in block))
-    right = rows.select(*block, *(F.col(c).alias(f"r_{c}") for c in rows.columns if c not in block))
-    pairs = (left.join(right, block) if block else left.crossJoin(right)).filter(F.col("l_id") < F.col("r_id"))
+    keys = [f"block_{i}" for i in range(len(block))]
+    side = lambda s: rows.select(*(F.col(b).alias(k) for b, k in zip(block, keys)), *(F.col(c).alias(f"{s}_{c}") for c in ("id", "title", "evidence", "entity", "event_type", "ts")))
+    pairs = (side("l").join(side("r"), keys) if block else side("l").crossJoin(side("r"))).filter(F.col("l_id") < F.col("r_id"))
     text = lambda s: F.concat_ws(" ", f"{s}_title", f"{s}_evidence")
     pairs = pairs.withColumn("text", sequence_ratio(text("l"), text("r"))).withColumn("tokens", token_overlap(text("l"), text("r"))).withColumn("time", time_close("l_ts", "r_ts", window_days))
     same_entity = (F.col("l_entity") != "") & (F.col("l_entity") == F.col("r_entity"))
