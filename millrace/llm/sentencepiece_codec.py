@@ -21,12 +21,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrays import mixed
 from millrace.llm.session import documents, small_batches, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,13 +35,14 @@ UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Stands for a literal U+2581 while units are cut; a noncharacter that no text should hold.
 HELD = "﷐"
 ROOT = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Below the worst piece: what a character without a piece scores.
 UNKNOWN_PENALTY = 10.0
 FILTER_BITS = 20
 #: Characters of units that advance together.
 CELLS = 1 << 17
-#: Distinct units that a task remembers.
-REMEMBERED = 400_000
+#: Distinct units that a task remembers at least; it holds twice as many at most.
+REMEMBERED = 60_000
 
 
 @dataclass
@@ -57,8 +58,31 @@ class Vocabulary:
     unknown: float
 
     def __post_init__(self):
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        slot = (self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        filled = np.bincount(slot, minlength=1 << FILTER_BITS)
+        self.filter = filled > 0
+        self.first = (np.cumsum(filled) - filled).astype(np.int32)  # where a slot's keys begin
+        self.crowd = int(filled.max())
+        self.padded = np.append(self.keys, np.zeros(self.crowd, np.uint64))
+        self.scores_or_none = np.append(self.scores, -np.inf)
+        self.ids_or_none = np.append(self.ids, -1).astype(np.int32)
+
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of keys are pieces' (their places), and the pieces' places among the sorted keys.
+
+        The leading bits of a key say where in the sorted keys it would stand; the few
+        keys that begin alike are compared.
+        """
+        slot = keys >> np.uint64(64 - FILTER_BITS)
+        likely = np.flatnonzero(self.filter.take(slot))
+        probe = keys.reshape(-1)[likely]
+        at = self.first.take(slot.reshape(-1)[likely])
+        where, found = [], []
+        for i in range(self.crowd):
+            hit = self.padded.take(at + i) == probe
+            where.append(likely[hit])
+            found.append(at[hit] + i)
+        return np.concatenate(where), np.concatenate(found)
 
 
 def key_of(code_points: np.ndarray) -> np.ndarray:
@@ -66,7 +90,7 @@ def key_of(code_points: np.ndarray) -> np.ndarray:
     h = np.zeros(len(code_points), np.uint64)
     for column in code_points.T:
         h = h * ROOT + column.astype(np.uint64) + np.uint64(1)
-    return mixed(h + np.uint64(code_points.shape[1]))
+    return (h + np.uint64(code_points.shape[1])) * SPREAD
 
 
 def load(path: str = DEFAULT_MODEL) -> Vocabulary:
@@ -104,98 +128,112 @@ def load(path: str = DEFAULT_MODEL) -> Vocabulary:
     return Vocabulary(joined[order], np.array(ids)[order], scores[order], surfaces, byte_ids, max(len(pieces[i].piece) for i in normal), float(scores.min()) - UNKNOWN_PENALTY)
 
 
-def segment(units: list[str], vocabulary: Vocabulary) -> list[list[int]]:
-    """The ids of each unit; units of equal length advance together."""
-    out: list = [None] * len(units)
+def segment(units: list[str], vocabulary: Vocabulary) -> list[bytes]:
+    """The ids of each unit, as the bytes of 32-bit integers; units of equal length advance together."""
+    out: list = [b""] * len(units)
     lengths = np.array([len(u) for u in units], np.int64)
     order = np.argsort(lengths, kind="stable")
-    at = 0
+    at = int(np.searchsorted(lengths[order], 1)) if len(order) else 0
     while at < len(order):
         n = int(lengths[order[at]])
-        end = min(int(np.searchsorted(lengths[order], n, "right")), at + max(1, CELLS // max(n, 1)))
-        own = order[at:end]
-        if n == 0:
-            for i in own:
-                out[i] = []
-        else:
-            _segment_equal([units[i] for i in own], n, vocabulary, out, own)
+        end = min(int(np.searchsorted(lengths[order], n, "right")), at + max(1, CELLS // n))
+        own = order[at:end].tolist()
+        for i, ids in zip(own, _segment_equal([units[i] for i in own], n, vocabulary)):
+            out[i] = ids
         at = end
     return out
 
 
-def _segment_equal(units: list[str], n: int, v: Vocabulary, out: list, places: np.ndarray) -> None:
+def _segment_equal(units: list[str], n: int, v: Vocabulary) -> list[bytes]:
     m = len(units)
-    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64)  # (n, m): a step reads one row
+    points = np.ascontiguousarray(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T).astype(np.uint64)  # (n, m): a step reads one row
     prefix = np.zeros((n + 1, m), np.uint64)
     for i in range(n):
         prefix[i + 1] = prefix[i] * ROOT + points[i] + np.uint64(1)
     most = min(v.longest, n)
-    score = np.full((most, n, m), -np.inf)
-    piece = np.full((most, n, m), -1, np.int32)
+    none = len(v.keys)
+    place = np.full((most, n, m), none, np.uint16 if none < 1 << 16 else np.int32)  # of the piece of a size that starts somewhere
+    sizes = np.zeros((n, most), bool)  # whether any piece of a size starts somewhere
     power = np.uint64(1)
     with np.errstate(over="ignore"):
         for size in range(1, most + 1):  # all substrings of one size, by their start
             power = power * ROOT
-            keys = mixed(prefix[size:] - prefix[: n + 1 - size] * power + np.uint64(size))
-            likely = np.flatnonzero(v.filter[keys >> np.uint64(64 - FILTER_BITS)])
-            probe = keys.reshape(-1)[likely]
-            found = np.minimum(np.searchsorted(v.keys, probe), len(v.keys) - 1)
-            hit = v.keys[found] == probe
-            score[size - 1].reshape(-1)[likely[hit]] = v.scores[found[hit]]
-            piece[size - 1].reshape(-1)[likely[hit]] = v.ids[found[hit]]
-    score[0][piece[0] < 0] = v.unknown
+            keys = prefix[: n + 1 - size] * -power
+            keys += prefix[size:]
+            keys += np.uint64(size)
+            keys *= SPREAD
+            where, found = v.probe(keys)
+            place[size - 1].reshape(-1)[where] = found
+            sizes[where // m, size - 1] = True
     best = np.full((n + 1, m), -np.inf)
     best[0] = 0.0
-    back = np.zeros((n + 1, m), np.int8 if most < 128 else np.int32)
+    back = np.ones((n + 1, m), np.int8 if most < 128 else np.int32)
     for j in range(1, n + 1):
-        for size in range(1, min(most, j) + 1):
-            reached = best[j - size] + score[size - 1, j - size]
-            better = reached >= best[j]
-            np.copyto(best[j], reached, where=better)
-            np.copyto(back[j], size, where=better)
-        # an unreachable place can't be: every character has at least its own step
+        alone = v.scores_or_none.take(place[0, j - 1])
+        alone[alone == -np.inf] = v.unknown  # a character without a piece
+        np.add(best[j - 1], alone, out=best[j])
+        for size in range(2, min(most, j) + 1):
+            if sizes[j - size, size - 1]:
+                reached = best[j - size] + v.scores_or_none.take(place[size - 1, j - size])
+                better = (reached >= best[j]) & (reached > -np.inf)
+                np.copyto(best[j], reached, where=better)
+                np.copyto(back[j], size, where=better)
     ends = np.full(m, n)
-    steps = []
     columns = np.arange(m)
+    steps, starts = [], []
     while ends.any():
-        size = back[ends, columns].astype(np.int64)
-        start = ends - size
         live = ends > 0
-        ids = np.where(live, piece[np.maximum(size, 1) - 1, np.maximum(start, 0), columns], -2)
-        steps.append((ids, start))
-        ends = np.where(live, start, 0)
-    ids = np.stack([s[0] for s in steps[::-1]]).T  # (m, steps), -2 before a unit's first piece
-    starts = np.stack([s[1] for s in steps[::-1]]).T
-    bytewise = (ids == -1).any(1)
-    for k in range(m):
-        row = ids[k]
-        if not bytewise[k]:
-            out[places[k]] = row[row != -2].tolist()
-        else:
+        start = np.where(live, ends - back[ends, columns], 0)
+        ids = v.ids_or_none.take(place[np.where(live, ends - start, 1) - 1, start, columns])
+        steps.append(np.where(live, ids, -2))
+        starts.append(start)
+        ends = start
+    ids = np.stack(steps[::-1]).T  # (m, steps), -2 before a unit's first piece, -1 for a character without a piece
+    real = ids != -2
+    edges = np.concatenate([[0], np.cumsum(real.sum(1))]).tolist()
+    data = ids[real].astype(np.int32).tobytes()
+    out = [data[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:])]
+    if (ids == -1).any():
+        begin = np.stack(starts[::-1]).T
+        for k in np.flatnonzero((ids == -1).any(1)).tolist():
             found = []
-            for x, s in zip(row.tolist(), starts[k].tolist()):
+            for x, at in zip(ids[k].tolist(), begin[k].tolist()):
                 if x == -1:
-                    found += [v.byte_ids[b] for b in (SPACE if units[k][s] == HELD else units[k][s]).encode("utf-8", "surrogatepass")]
+                    c = units[k][at]
+                    found += [v.byte_ids[b] for b in (SPACE if c == HELD else c).encode("utf-8", "surrogatepass")]
                 elif x != -2:
                     found.append(x)
-            out[places[k]] = found
+            out[k] = np.array(found, np.int32).tobytes()
+    return out
 
 
 class Encoder:
-    """Encodes batches of texts, remembering a bounded number of units."""
+    """Encodes batches of texts, remembering a bounded number of units: the latest, and those before them."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit integers."""
         cut = [UNIT.findall(SPACE + t.replace(SPACE, HELD).replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({u for units in cut for u in units if u not in known})
+        known, old = self.known, self.old
+        new = []
+        for u in {u for units in cut for u in units}:
+            if u not in known:
+                if u in old:
+                    known[u] = old[u]
+                else:
+                    new.append(u)
         known.update(zip(new, segment(new, self.vocabulary)))
-        return [[x for u in units for x in known[u]] for units in cut]
+        out = [b"".join([known[u] for u in units]) for units in cut]
+        if len(known) > REMEMBERED:
+            self.known, self.old = {}, dict(islice(known.items(), 2 * REMEMBERED))
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, np.int32).tolist() for b in self.batch(texts)]
 
 
 def decode(ids: list[int], surfaces: list[bytes]) -> str:
@@ -217,12 +255,11 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
         encoder = Encoder(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = encoder.encode(texts)
-            exact = [decode(ids, vocabulary.surfaces) == t for ids, t in zip(found, texts)]
+            found = encoder.batch(texts)
+            exact = [decode(np.frombuffer(b, np.int32).tolist(), vocabulary.surfaces) == t for b, t in zip(found, texts)]
             edges = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(f) for f in found], out=edges[1:])
-            values = np.fromiter((x for f in found for x in f), np.int32, int(edges[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(values)), pa.array(np.diff(edges).astype(np.int64)), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_ids", "exact"])
+            np.cumsum([len(b) // 4 for b in found], out=edges[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), np.int32))), pa.array(np.diff(edges).astype(np.int64)), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_ids", "exact"])
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, exact boolean")
 
