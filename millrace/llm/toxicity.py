@@ -208,7 +208,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64("doc_id")
     picked = marked.filter("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(marked.filter("y = 0").orderBy(order, "doc_id").limit(per_class))
     # 2 * per_class rows of 12 bytes: a fixed bound, whatever the input's size
-    return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["text", "y"]) if per_class <= 50_000 else docs.join(picked, "doc_id").dropDuplicates(["text", "y"])
+    found = docs.join(F.broadcast(picked) if per_class <= 50_000 else picked, "doc_id")
+    return found.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "y")
 
 
 def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
