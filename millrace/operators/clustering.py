@@ -12,6 +12,7 @@ from millrace.operators.components import components
 from millrace.operators.metrics import cluster_metrics
 from millrace.operators.pairs import scored_pairs
 from millrace.operators.ranking import top_candidates
+from millrace.session import dimension
 
 
 def assigned(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
@@ -92,7 +93,7 @@ def group_subjects(members: DataFrame, subjects: DataFrame, lead: int = 240, lea
     names = subjects.select("code", compact("name").alias("alias")).filter(F.length("alias") >= least).withColumnRenamed("code", "hit")
 
     def found(text):
-        hits = members.select("group", compact(text).alias("t")).join(F.broadcast(names), F.contains(F.col("t"), F.col("alias")))
+        hits = members.select("group", compact(text).alias("t")).join(dimension(names), F.contains(F.col("t"), F.col("alias")))
         return hits.groupBy("group").agg(F.collect_set("hit").alias("codes"))
 
     direct = members.groupBy("group").agg(F.collect_set(F.nullif("code", F.lit(""))).alias("codes"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace import lexicon as L
 from millrace.config import DEFAULTS, Learning
 from millrace.functions.text import col, trigger_terms
+from millrace.session import dimension
 
 
 def diagnosis(kind) -> Column:
@@ -102,7 +103,7 @@ def applied(predictions: DataFrame, skill_rows: DataFrame) -> DataFrame:
     """
     s = skill_rows.select("skill_id", "target_event_type", "observed_event_type", "trigger_terms")
     hit = (F.col("observed_event_type").isNull() | (F.col("observed_event_type") == F.col("event_type"))) & F.exists("trigger_terms", lambda t: F.contains(F.col("text"), t))
-    found = predictions.join(F.broadcast(s), hit).groupBy("article_id").agg(F.size(F.collect_set("target_event_type")).alias("targets"), F.min(F.struct("skill_id", "target_event_type")).alias("first"))
+    found = predictions.join(dimension(s), hit).groupBy("article_id").agg(F.size(F.collect_set("target_event_type")).alias("targets"), F.min(F.struct("skill_id", "target_event_type")).alias("first"))
     joined = predictions.join(found, "article_id", "left")
     change = F.coalesce(F.col("targets") == 1, F.lit(False))
     trace = F.when(change, F.concat(F.lit("skill:"), F.col("first.skill_id"))).when(F.col("targets") > 1, "skills:conflict")

@@ -13,7 +13,7 @@ from millrace import lexicon as L
 from millrace.functions.similarity import title_similarity
 from millrace.operators.metrics import class_weights
 from millrace.operators.ranking import best_threshold
-from millrace.session import cut
+from millrace.session import cut, dimension
 
 #: Hashed features of the n-grams.
 FEATURES = 1 << 15
@@ -51,7 +51,7 @@ def text_model(train: DataFrame, column: str, label: str, algorithm: str = "logi
     corpus = labelled.select("grams") if domain is None else labelled.select("grams").unionByName(grams(domain).select("grams"))
     idf = IDF(inputCol="tf", outputCol="idf").fit(tf.transform(corpus))
     weights = class_weights(labelled, label).select(label, "weight")
-    prepared = labelled.join(F.broadcast(weights), label)  # a row per label
+    prepared = labelled.join(dimension(weights), label)  # a row per label
     index = StringIndexer(inputCol=label, outputCol="index", handleInvalid="keep").fit(prepared)
     model = Pipeline(stages=[tf, idf, Normalizer(inputCol="idf", outputCol="features"), index, classifier(algorithm)]).fit(prepared)
     return {"model": model, "constant": None, "column": column, "labels": list(index.labels), "algorithm": algorithm}
@@ -80,7 +80,7 @@ def linear_probe(train: DataFrame, rows: DataFrame, vector: str, label: str) ->
     weights = class_weights(train, label).select(label, "weight")
     as_vector = lambda df: df.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     index = StringIndexer(inputCol=label, outputCol="index").fit(train)
-    model = LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=50, regParam=1e-3).fit(index.transform(as_vector(train.join(F.broadcast(weights), label))))
+    model = LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=50, regParam=1e-3).fit(index.transform(as_vector(train.join(dimension(weights), label))))
     return IndexToString(inputCol="prediction", outputCol="predicted", labels=list(index.labels)).transform(model.transform(as_vector(rows))).select(*rows.columns, "predicted")
 
 

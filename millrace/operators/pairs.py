@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.similarity import day_gap, pair_score, sequence_ratio, time_close, token_overlap, within_days
 from millrace.functions.text import compact, fingerprint, hash_rank, pair_hash, pair_key, split_ids
+from millrace.session import dimension
 
 DAY_MICROS = 86_400_000_000
 
@@ -163,12 +164,11 @@ def definitions_of(articles: DataFrame, definitions: DataFrame) -> DataFrame:
 def alias_hits(articles: DataFrame, subjects: DataFrame, least: int = 2, lead: int = 240) -> DataFrame:
     """(article_id, hits): the subjects (code, name) whose compact name or code stands in the compact title and lead.
 
-    Names have no key to join by, so the catalogue is broadcast: it is a dimension, whose
-    size is the caller's to bound (`session.small_enough`).
+    Names have no key to join by, so the catalogue is broadcast if its size allows.
     """
     names = subjects.select("code", F.explode(F.array_distinct(F.array(compact("name"), compact("code")))).alias("alias")).filter(F.length("alias") >= least).distinct()
     text = articles.select("article_id", compact(F.concat_ws(" ", "title", F.substring(F.coalesce("content", F.lit("")), 1, lead))).alias("text"))
-    found = text.join(F.broadcast(names), F.contains(F.col("text"), F.col("alias"))).groupBy("article_id").agg(F.array_sort(F.collect_set("code")).alias("hits"))
+    found = text.join(dimension(names), F.contains(F.col("text"), F.col("alias"))).groupBy("article_id").agg(F.array_sort(F.collect_set("code")).alias("hits"))
     return articles.select("article_id").join(found, "article_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
 
 

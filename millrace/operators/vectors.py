@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.config import DEFAULTS, Routing
 from millrace.functions.similarity import cosine, dot, norm
 from millrace.functions.text import col
+from millrace.session import dimension
 
 
 def unit(a) -> Column:
@@ -36,19 +37,19 @@ def rocchio(rows: DataFrame, label: str, vector: str, weight: float) -> DataFram
 
 def scored(queries: DataFrame, classes: DataFrame, vector: str, class_vector: str, how=cosine) -> DataFrame:
     """Every query with every class and the score of their vectors."""
-    return queries.crossJoin(F.broadcast(classes)).withColumn("score", how(vector, class_vector))  # classes: a dimension
+    return queries.crossJoin(dimension(classes)).withColumn("score", how(vector, class_vector))  # classes: a dimension
 
 
 def class_similarity(classes: DataFrame, label: str, vector: str) -> DataFrame:
     """(a, b, similarity) of all classes; -1 for a class with itself."""
     a, b = classes.select(F.col(label).alias("a"), F.col(vector).alias("va")), classes.select(F.col(label).alias("b"), F.col(vector).alias("vb"))
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.when(F.col("a") == F.col("b"), -1.0).otherwise(cosine("va", "vb")).alias("similarity"))
+    return a.crossJoin(dimension(b)).select("a", "b", F.when(F.col("a") == F.col("b"), -1.0).otherwise(cosine("va", "vb")).alias("similarity"))
 
 
 def exemplar_scores(train: DataFrame, queries: DataFrame, label: str, vector: str, key: str, k: int) -> DataFrame:
     """(key, label, score): the mean of the k best cosines of each class; train is a labelled set of bounded size."""
     t = train.select(label, F.col(vector).alias("__v"))
-    pairs = queries.select(key, F.col(vector).alias("__q")).crossJoin(F.broadcast(t)).select(key, label, cosine("__q", "__v").alias("c"))
+    pairs = queries.select(key, F.col(vector).alias("__q")).crossJoin(dimension(t)).select(key, label, cosine("__q", "__v").alias("c"))
     return pairs.withColumn("k", F.row_number().over(W.partitionBy(key, label).orderBy(F.desc("c")))).filter(F.col("k") <= k).groupBy(key, label).agg(F.avg("c").alias("score"))
 
 
@@ -120,7 +121,7 @@ def chosen_scores(rows: DataFrame, gate: str = "hard") -> DataFrame:
 
 def aligned_scores(scores: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Scores of every row for every class; -1e9 where the model doesn't know the class. classes is a dimension."""
-    return rows.crossJoin(F.broadcast(classes)).join(scores, ["row", "label"], "left").withColumn("score", F.coalesce("score", F.lit(-1e9)))
+    return rows.crossJoin(dimension(classes)).join(scores, ["row", "label"], "left").withColumn("score", F.coalesce("score", F.lit(-1e9)))
 
 
 def candidate_rows(ranked: DataFrame, recalls: DataFrame, priors: DataFrame, score_k: int = 5, recall_k: int = 5, limit: int = 10) -> DataFrame:
@@ -132,7 +133,7 @@ def candidate_rows(ranked: DataFrame, recalls: DataFrame, priors: DataFrame, sco
     none = F.array().cast("array<string>")
     merged = both.withColumn("by_score", F.coalesce("by_score", none)).withColumn("by_recall", F.coalesce("by_recall", none)).withColumn("label", F.explode(F.slice(F.array_distinct(F.concat("by_score", "by_recall")), 1, limit)))
     placed = merged.select("row", "label", F.array_position("by_score", F.col("label")).alias("score_rank"), F.array_position("by_recall", F.col("label")).alias("recall_rank"))
-    return placed.join(F.broadcast(priors), "label", "left").select("row", "label", "score_rank", "recall_rank", ((F.col("score_rank") > 0) & (F.col("recall_rank") > 0)).alias("in_both"), F.coalesce("n", F.lit(0)).cast("bigint").alias("prior"))
+    return placed.join(dimension(priors), "label", "left").select("row", "label", "score_rank", "recall_rank", ((F.col("score_rank") > 0) & (F.col("recall_rank") > 0)).alias("in_both"), F.coalesce("n", F.lit(0)).cast("bigint").alias("prior"))
 
 
 def training_pairs(rows: DataFrame, negatives: int = 5) -> DataFrame:
@@ -172,7 +173,7 @@ def triplets(rows: DataFrame, negatives: DataFrame, seed: int = 42) -> DataFrame
     positive = placed.select("label", "place", F.col("id").alias("positive"))
     first = negatives.groupBy("label").agg(F.min_by("negative", "place").alias("negative_label"))
     sizes = placed.groupBy("label").agg(F.max("many").alias("negative_many")).withColumnRenamed("label", "negative_label")
-    anchored = placed.filter("many > 1").join(F.broadcast(first), "label").join(F.broadcast(sizes), "negative_label").withColumn("next", (F.col("place") + 1) % F.col("many")).withColumn("there", F.col("place") % F.col("negative_many"))
+    anchored = placed.filter("many > 1").join(dimension(first), "label").join(dimension(sizes), "negative_label").withColumn("next", (F.col("place") + 1) % F.col("many")).withColumn("there", F.col("place") % F.col("negative_many"))
     with_positive = anchored.join(positive.withColumnRenamed("place", "next"), ["label", "next"])
     return with_positive.join(positive.select(F.col("label").alias("negative_label"), F.col("place").alias("there"), F.col("positive").alias("negative")), ["negative_label", "there"]).select(F.col("id").alias("anchor"), "positive", "negative")
 

@@ -82,5 +82,11 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
+def dimension(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, computed once, to be broadcast in a join if it has at most so many rows; a larger one is joined as Spark sees fit."""
+    held = cut(df)
+    return F.broadcast(held) if small_enough(held, rows) else held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
