@@ -28,7 +28,7 @@ def word_grams(c, low: int = 2, high: int = 4):
 
 def classifier(algorithm: str):
     if algorithm == "logistic":
-        return LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=25, regParam=1e-3)
+        return LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", maxIter=15, tol=1e-4, regParam=1e-3)
     if algorithm == "svc":
         return OneVsRest(classifier=LinearSVC(maxIter=20, regParam=1e-3), featuresCol="features", labelCol="index")
     if algorithm == "boosted":
@@ -39,31 +39,30 @@ def classifier(algorithm: str):
 def text_model(train: DataFrame, column: str, label: str, algorithm: str = "logistic", domain: DataFrame | None = None):
     """A fitted model of hashed n-gram TF-IDF and a linear or boosted classifier; classes weigh the same.
 
-    domain adds unlabelled texts to those that the IDF is learned from. With one class the
-    model is None and predicted() answers that class.
+    domain adds unlabelled texts to those that the IDF is learned from. With one class
+    there is no model, and predicted() answers that class.
     """
-    grams = lambda df: df.withColumn("grams", word_grams(F.col(column)))
-    labelled = cut(grams(train.filter(F.col(label).isNotNull()).select(column, label)))  # read several times, and n-grams cost most
+    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=FEATURES)
+    counted = lambda df: tf.transform(df.withColumn("grams", word_grams(F.col(column)))).drop("grams")
+    labelled = cut(counted(train.filter(F.col(label).isNotNull()).select(column, label)).select(label, "tf"))  # read several times
     kinds = labelled.select(label).distinct().limit(2).collect()
     if len(kinds) < 2:
-        return {"model": None, "constant": kinds[0][0] if kinds else None, "column": column}
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=FEATURES)
-    corpus = labelled.select("grams") if domain is None else labelled.select("grams").unionByName(grams(domain).select("grams"))
-    idf = IDF(inputCol="tf", outputCol="idf").fit(tf.transform(corpus))
+        return {"stages": None, "constant": kinds[0][0] if kinds else None, "column": column}
+    corpus = labelled.select("tf") if domain is None else labelled.select("tf").unionByName(counted(domain).select("tf"))
     weights = class_weights(labelled, label).select(label, "weight")
     prepared = labelled.join(dimension(weights), label)  # a row per label
-    index = StringIndexer(inputCol=label, outputCol="index", handleInvalid="keep").fit(prepared)
-    model = Pipeline(stages=[tf, idf, Normalizer(inputCol="idf", outputCol="features"), index, classifier(algorithm)]).fit(prepared)
-    return {"model": model, "constant": None, "column": column, "labels": list(index.labels), "algorithm": algorithm}
+    index = StringIndexer(inputCol=label, outputCol="index").fit(prepared)
+    fitted = Pipeline(stages=[IDF(inputCol="tf", outputCol="idf").fit(corpus), Normalizer(inputCol="idf", outputCol="features"), index, classifier(algorithm)]).fit(prepared)
+    idf, normal, _, last = fitted.stages
+    return {"stages": (tf, idf, normal, last), "constant": None, "column": column, "labels": list(index.labels)}
 
 
 def predicted(fitted: dict, rows: DataFrame) -> DataFrame:
     """rows with `predicted` and `confidence` (the largest probability; null where the algorithm has none)."""
-    if fitted["model"] is None:
+    if fitted["stages"] is None:
         return rows.withColumn("predicted", F.lit(fitted["constant"])).withColumn("confidence", F.lit(1.0))
-    *features, _, last = fitted["model"].stages
     out = rows.withColumn("grams", word_grams(F.col(fitted["column"])))
-    for stage in (*features, last):
+    for stage in fitted["stages"]:
         out = stage.transform(out)
     named = IndexToString(inputCol="prediction", outputCol="predicted", labels=fitted["labels"]).transform(out)
     best = F.array_max(vector_to_array("probability")) if "probability" in named.columns else F.lit(None).cast("double")
