@@ -213,3 +213,11 @@ def dependency(c) -> Column:
         state.isin("healthy", "required_down", "fallback") & (F.get(parts, 0) != ""),
         F.struct(F.get(parts, 0).alias("name"), (state == "healthy").alias("healthy"), F.lit(True).alias("required"), (state == "fallback").alias("fallback_available")),
     ).otherwise(F.raise_error(F.concat(F.lit("not a dependency: "), F.coalesce(col(c), F.lit("null")))).cast("struct<name:string,healthy:boolean,required:boolean,fallback_available:boolean>"))
+
+
+def valid_sample(title, content, label, forbidden, least: int = 60) -> Column:
+    """Whether a made-up article is usable: a title, enough content, and neither its label, a forbidden one (an array) nor a giveaway in it."""
+    t, c = clean(title), clean(content)
+    both = F.concat_ws(" ", t, c)
+    leaks = F.contains(both, col(label)) | F.exists(F.coalesce(col(forbidden), F.array().cast("array<string>")), lambda name: F.contains(both, name)) | contains_any(both, L.GIVEAWAYS)
+    return (F.length(c) >= least) & (t != "") & ~leaks

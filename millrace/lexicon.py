@@ -90,3 +90,6 @@ OTHER_DIAGNOSIS = "DOMAIN_EDGE_CASE"
 # What ends the harmless part of a reviewer's note, and words that are no trigger.
 NOTE_MARKERS = ("被误判", "误判为", "识别成", "应识别为", "应为", "不是")
 NOTE_STOP_WORDS = ("事件", "错误", "误判", "识别", "调整")
+
+# Words that give a made-up sample away.
+GIVEAWAYS = ("事件类型", "分类标签", "该标签", "本文属于")

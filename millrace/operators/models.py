@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from millrace import lexicon as L
 from millrace.functions.similarity import title_similarity
-from millrace.operators.metrics import class_weights
+from millrace.operators.metrics import binary, class_weights
 from millrace.operators.ranking import best_threshold
+from millrace.operators.splits import stratified
 from millrace.session import cut, dimension
 
 #: Hashed features of the n-grams.
@@ -95,6 +96,23 @@ def reranked(calibration: DataFrame, validation: DataFrame, external: DataFrame)
     return float(found["threshold"]), score(external)
 
 
+def reranker_stability(train: DataFrame, external: DataFrame, cosine_threshold: float, seeds: list[int], ratio: float = 0.5, least_gain: float = 0.01) -> dict:
+    """The reranker over several splits of train against a plain cosine threshold: F1, gains, thresholds and whether it is worth using.
+
+    It is if the mean gain is large enough, no seed loses, and none is less precise.
+    """
+    base = binary(external, "cosine", "label", cosine_threshold).first()
+    runs = []
+    for seed in seeds:
+        sides = cut(stratified(train, "label", "pair_id", ratio, seed))
+        threshold, scored = reranked(sides.filter("side = 'calibration'").drop("side"), sides.filter("side = 'evaluation'").drop("side"), external)
+        m = binary(scored, "score", "label", threshold).first()
+        runs.append({"seed": seed, "threshold": threshold, "f1": m["f1"], "gain": m["f1"] - base["f1"], "precision": m["precision"]})
+    gains = [r["gain"] for r in runs]
+    worth = sum(gains) / len(gains) >= least_gain and min(gains) >= 0 and all(r["precision"] >= base["precision"] for r in runs)
+    return {"runs": runs, "mean_f1": sum(r["f1"] for r in runs) / len(runs), "mean_gain": sum(gains) / len(gains), "min_gain": min(gains), "recommended": worth}
+
+
 def log_count_ratio(rows: DataFrame, terms: str, label: str, smoothing: float = 1.0) -> DataFrame:
     """(term, ratio): the log ratio of a term's smoothed frequencies in rows of label 1 and 0."""
     each = rows.select(F.explode(F.array_distinct(terms)).alias("term"), F.col(label).alias("y")).groupBy("term").agg((F.sum(F.col("y").cast("bigint")) + smoothing).alias("p"), (F.sum(1 - F.col("y").cast("bigint")) + smoothing).alias("q"))

@@ -66,6 +66,12 @@ def subject_corpus(definitions: DataFrame, chars: int = 1800) -> DataFrame:
     return definitions.groupBy(F.col("subject_code").alias("code")).agg(F.min("subject_name").alias("name"), F.substring(F.concat(F.min("subject_name"), F.lit("。事件体系："), F.array_join(lines, "；")), 1, chars).alias("text"))
 
 
+def subject_aliases(definitions: DataFrame, scope: str) -> DataFrame:
+    """(aliases): the distinct subject names of a scope, two characters and more, longest first; one row."""
+    names = definitions.filter(F.col("scope") == scope).select(F.trim("subject_name").alias("name")).filter(F.length("name") >= 2).distinct()
+    return names.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("n"), "name"))), lambda s: s["name"]).alias("aliases"))
+
+
 def route(articles: DataFrame, subjects: DataFrame, hits: DataFrame, cfg: Routing = DEFAULTS.routing) -> DataFrame:
     """articles (article_id, embedding) to subjects (code, name, embedding): the k best and the subject accepted, with method and reason.
 

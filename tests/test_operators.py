@@ -212,6 +212,22 @@ def test_model_of_one_class_and_reranker(spark):
     assert scored.filter((F.col("score") >= threshold) & (F.col("label") == 1)).count() == 2
 
 
+def test_reranker_stability(spark):
+    pair = lambda n: spark.createDataFrame([(str(i), "甲乙丙", "甲乙丙" if i % 2 else "丁戊己", 0.4 + 0.2 * (i % 3 == 0), float(i % 2), i % 2) for i in range(n)], "pair_id string, left_title string, right_title string, cosine double, closeness double, label int")
+    out = models.reranker_stability(pair(40), pair(12), 0.5, [1, 2])
+    assert out["recommended"] and out["mean_f1"] == 1.0 and len(out["runs"]) == 2
+
+
+def test_samples_and_aliases(spark):
+    from millrace.functions import text
+
+    long = "内容" * 40
+    rows = spark.createDataFrame([("题", long, "甲", ["乙"]), ("题", "短", "甲", []), ("", long, "甲", []), ("题甲", long, "甲", []), ("题", long + "乙", "甲", ["乙"]), ("题", long + "分类标签", "甲", None)], "t string, c string, l string, f array<string>")
+    assert [r[0] for r in rows.select(text.valid_sample("t", "c", "l", "f")).collect()] == [True, False, False, False, False, False]
+    d = spark.createDataFrame([("company", "1", "甲乙", "e", ""), ("company", "1", "甲乙", "f", ""), ("company", "2", "甲乙丙", "e", ""), ("company", "3", "甲", "e", ""), ("industry", "4", "行业", "e", "")], "scope string, subject_code string, subject_name string, event_name string, description string")
+    assert vectors.subject_aliases(d, "company").first()["aliases"] == ["甲乙丙", "甲乙"]
+
+
 def test_policies_and_lists(spark):
     rows = spark.createDataFrame([(0.9, True, True), (0.5, True, False), (0.1, False, True)], "margin double, hit boolean, p boolean")
     assert models.pseudo_policy(rows.withColumn("q", F.lit(True)), ["p", "q"], 1.0, 1).count() == 2
