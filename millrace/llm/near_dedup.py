@@ -7,8 +7,10 @@
    a. Stars: every class is paired with one member of its buckets, the smallest of
       most of them. The links found give components.
    b. The rest: all candidates whose ends are in different components still. (A pair
-      within a component can't change it.) A bucket is dealt into blocks, and blocks
-      meet in pairs; a pair that shares several bands is looked at in the first one.
+      within a component can't change it.) A bucket's members are dealt into blocks,
+      those of its largest component apart from the others: their blocks meet only the
+      others', which meet one another too. A pair that shares several bands is looked
+      at in the first one.
 3. Pruning. The signatures of a pair are compared BATCH minima at a time; after each
    batch the posterior of its similarity (uniform prior) tells whether it may still
    reach the threshold, and pairs with a chance below MISS are dropped.
@@ -41,7 +43,7 @@ HASHES = BANDS * ROWS
 #: Minima compared at a time, and the chance of a link below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
 #: Members that meet one copy of a star's centre, and members of a block of a bucket.
-STAR, BLOCK = 64, 512
+STAR, BLOCK = 64, 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -227,6 +229,22 @@ def _links(blocks: DataFrame, signatures: DataFrame, texts: DataFrame, bounds: l
     return cut(rows.mapInArrow(_verified, "a long, b long"))
 
 
+def _dealt(rows: DataFrame, total: int) -> DataFrame:
+    """rows (key, band, doc_id, component) of buckets with several components, dealt into blocks (block, band, side, doc_id, component)."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "component"))
+    mixed_buckets = counts.groupBy("key").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), largest.alias("l")).filter("parts > 1")
+    mixed_buckets = cut(mixed_buckets.select("key", "members", F.col("l.component").alias("major"), F.ceil(F.col("l.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("members") - F.col("l.n")) / BLOCK).cast("int").alias("minors")))
+    placed = attach(rows, mixed_buckets, ["key"], "members", total, "inner").withColumn("is_major", F.col("component") == F.col("major"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_major = F.transform(upto("minors"), lambda j: F.struct(F.xxhash64("key", F.lit(1), "own", j).alias("block"), F.lit(0).alias("side")))
+    with_majors = F.transform(upto("majors"), lambda i: F.struct(F.xxhash64("key", F.lit(1), i, "own").alias("block"), F.lit(1).alias("side")))
+    with_minors = F.transform(upto("minors"), lambda j: F.struct(F.xxhash64("key", F.lit(0), F.least("own", j), F.greatest("own", j)).alias("block"), (F.col("own") > j).cast("int").alias("side")))
+    blocks = F.when(F.col("is_major"), as_major).otherwise(F.concat(with_majors, with_minors))
+    return placed.withColumn("b", F.explode(blocks)).select("b.block", "band", "b.side", "doc_id", "component")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
@@ -246,9 +264,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = slim.count()
     classes = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "x")).alias("first")).select(*key, "members", F.col("first.doc_id").alias("node"), F.col("first.x").alias("node_x"))
     classes = cut(classes.filter("members > 1"))
-    copies = attach(slim, classes, key, "members", total, "inner").filter("doc_id <> node OR x <> node_x").select("doc_id", "x")
-    copies = cut(copies)
-    reps = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(F.broadcast(copies) if small_enough(copies) else copies, ["doc_id", "x"], "left_anti")
+    copies = cut(attach(slim, classes, key, "members", total, "inner").filter("doc_id <> node OR x <> node_x").select("doc_id", "x", "node"))
+    gone = copies.select("doc_id", "x")
+    reps = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(F.broadcast(gone) if small_enough(copies) else gone, ["doc_id", "x"], "left_anti")
+    # an id with several texts ties the classes of all of them
+    several = slim.groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high").select("doc_id")
+    tied = cut(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     bounds = [least_matches(n) for n in range(BATCH, HASHES + 1, BATCH)]
     signatures = reps.select("doc_id", "x", "signature")
     texts = own.select("doc_id", "x", "text")
@@ -268,14 +289,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reached = cut(components(first))
     rows = rows.select("key", "band", "doc_id").join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = cut(rows)
-    mixed_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "members")
-    mixed_ = cut(mixed_)
-    dealt = attach(rows, mixed_, ["key"], "members", total, "inner").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "component")
-    second = _links(dealt, signatures, texts, bounds, False)
-
-    reached = cut(components(first.unionByName(second)))
+    second = _links(_dealt(rows, total), signatures, texts, bounds, False)
+
+    reached = cut(components(first.unionByName(second).unionByName(tied)))
     found = slim.select("doc_id", "x", *key)
     # a class is where its node is; nodes and components are joined once a class
     where = classes.join(reached, "node", "left").select(*key, "members", F.coalesce("component", "node").alias("component"))

@@ -79,6 +79,13 @@ def test_hard_rows(spark, hard_rows, no_rows):
     assert n.near_duplicates(no_rows).count() == 0 and n.kept_documents(no_rows).count() == 0
 
 
+def test_an_id_with_several_texts_ties_their_components(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (9, a), (9, b), (20, b + " z"), (21, "c d e f g"), (9, "x y z"), (30, "x y z")]
+    out = found(n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {(i, c) for i, _, c, _ in out} == {(3, 3), (9, 3), (20, 3), (21, 21), (30, 3)}
+
+
 def test_shingle_sets_and_rows_without_words():
     data, offsets = column_bytes(pa.array(["A b c d e f", "a B c d e f a b c d e f", "x y", "", None, "x y"]))
     sets = n.shingle_sets(data, offsets)
