@@ -1,6 +1,7 @@
 """Operators on small frames with known answers."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "flat").mkdir()
     for i in range(2):
         shutil.copy(next(pathlib.Path(tmp_path / f"in/part{i}").glob("*.parquet")), tmp_path / f"flat/{i}.parquet")
+        os.utime(tmp_path / f"flat/{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of their times
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "flat"))
     q = streams.to_ledger(streams.lifecycle_stream(stream), str(tmp_path / "ledger"), str(tmp_path / "cp"))
     q.awaitTermination()
