@@ -18,7 +18,7 @@ from millrace.streaming import events as streams
 
 def language_model(spark, sf_dir):
     """243-246: languages of documents by a text model that is fitted on three quarters of them: counts of right and wrong ones."""
-    a = articles(spark, sf_dir).select("id", F.substring("content", 1, 200).alias("text"), "lang")
+    a = articles(spark, sf_dir).select("id", F.col("content").alias("text"), "lang")
     fitted = models.text_model(a.filter("id % 4 <> 0"), "text", "lang")
     rows = models.predicted(fitted, a.filter("id % 4 = 0"))
     return metrics.error_pairs(rows, truth="lang").unionByName(rows.filter("lang = predicted").groupBy(F.col("lang").alias("a"), F.col("predicted").alias("b")).agg(F.count(F.lit(1)).alias("n")))
