@@ -44,7 +44,7 @@ SELECT term, round(ln((p / sum(p) OVER ()) / (q / sum(q) OVER ())) * 1e6)::BIGIN
 
 def agent_decisions(spark, sf_dir):
     """125, 126, 271-275: what a rule-driven agent decides on news, and what its verifier lets stand."""
-    n = news(spark, sf_dir).filter("id < 400").select("article_id", "title", "content", F.col("event_type").alias("baseline"), F.array(F.lit("error"), F.lit("view")).alias("candidates"))
+    n = news(spark, sf_dir).select("article_id", "title", "content", F.col("event_type").alias("baseline"), F.array(F.lit("error"), F.lit("view")).alias("candidates"))
     chat = lambda: agents.RuleChat([("definitions:", '{"action": "final", "decision": "select", "label": "error"}'), ("evidence:", '{"action": "definitions"}'), ("违规", '{"action": "evidence"}'), ("accept or reject", '{"answer": "accept"}')])
     d = agents.run_expert(n, chat)
     both = agents.verified(n.select("article_id", "baseline").join(d, "article_id"), chat)

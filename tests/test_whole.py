@@ -1,9 +1,14 @@
 """Queries do their whole job: small tables whose telling rows lie where a cut would lose them."""
 
+import datetime
 import os
+from collections import Counter
 
 from millrace.plans import learned
 
+T = datetime.datetime(2024, 1, 1)
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
 
 def _tables(spark, folder, **frames):
     for name, (rows, schema) in frames.items():
@@ -17,3 +22,15 @@ def test_language_model_reads_whole_texts(spark, tmp_path):
     folder = _tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     found = {(r["a"], r["b"]): r["n"] for r in learned.language_model(spark, folder).collect()}
     assert found == {(lang, lang): 4 for lang in said}
+
+
+def test_agent_decisions_judges_all_news(spark, tmp_path):
+    kinds = ["click", "error", "view", "purchase"]
+    rows = [(i, T, 1, kinds[i % 4], 1.0, "") for i in range(390, 1010)]
+    folder = _tables(spark, tmp_path, events=(rows, EVENTS))
+    expected = Counter()
+    for r in rows:  # only titles of errors get past the first question
+        expected["keep" if r[3] == "error" else "abstain", r[3], r[3]] += 1
+    found = {(r["decision"], r["baseline"], r["label"]): (r["n"], r["steps"]) for r in learned.agent_decisions(spark, folder).collect()}
+    assert found == {k: (n, n * (3 if k[0] == "keep" else 1)) for k, n in expected.items()}
+    assert sum(n for n, _ in found.values()) == len(rows)
