@@ -10,7 +10,7 @@ from millrace.functions.similarity import cosine
 from millrace.functions.text import compact
 from millrace.operators.components import components
 from millrace.operators.metrics import cluster_metrics
-from millrace.operators.pairs import scored_pairs
+from millrace.operators.pairs import mergeable_pairs, scored_pairs
 from millrace.operators.ranking import top_candidates
 from millrace.session import dimension
 
@@ -44,6 +44,12 @@ def rule_decisions(rows: DataFrame, block: list[str], cfg: Cluster = DEFAULTS.cl
     return by_rule.filter("merged").select("left", "right", "pair_id", "score", F.lit(None).cast("double").alias("semantic"), "merged", F.lit("rule").alias("method")).unionByName(by_vector.select("left", "right", "pair_id", "score", "semantic", "merged", F.when(F.col("semantic").isNull(), "semantic_fallback").otherwise("semantic").alias("method")))
 
 
+def all_rule_decisions(rows: DataFrame, cfg: Cluster = DEFAULTS.cluster) -> DataFrame:
+    """Rule decisions over all pairs of rows, without blocks: of every pair that can still merge by its entity, type, time and words; all others stay apart."""
+    pairs = mergeable_pairs(rows, cfg.threshold, cfg.time_window_days).withColumn("merged", F.col("score") >= cfg.threshold)
+    return pairs.withColumn("method", F.when(F.col("merged"), "rule").otherwise("none"))
+
+
 def edge_decisions(edges: DataFrame, vectors: DataFrame, recalls: DataFrame, threshold: float) -> DataFrame:
     """Supplied edges (left, right) merge if both ends have the same first candidate (subject, event) and a cosine of threshold.
 

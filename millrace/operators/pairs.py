@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import day_gap, pair_score, sequence_ratio, time_close, token_overlap, within_days
-from millrace.functions.text import compact, fingerprint, hash_rank, pair_hash, pair_key, split_ids
-from millrace.session import dimension
+from millrace import lexicon as L
+from millrace.functions.similarity import day_gap, jaccard, pair_score, sequence_ratio, time_close, token_overlap, within_days
+from millrace.functions.text import compact, fingerprint, hash_rank, pair_hash, pair_key, split_ids, tokens
+from millrace.session import attach, cut, dimension
 
 DAY_MICROS = 86_400_000_000
 
@@ -110,6 +111,71 @@ def scored_pairs(rows: DataFrame, block: list[str], window_days: int = 7) -> Dat
     return pairs.select(F.col("l_id").alias("left"), F.col("r_id").alias("right"), pair_key("l_id", "r_id").alias("pair_id"), pair_score("text", F.coalesce(same_entity, F.lit(False)), F.coalesce(F.col("l_event_type") == F.col("r_event_type"), F.lit(False)), "time", "tokens").alias("score"), within_days("l_ts", "r_ts", window_days).alias("near"), F.coalesce(same_entity, F.lit(False)).alias("same_subject"))
 
 
+#: Rows of one key in a block; a larger group is dealt into blocks that meet each other.
+MEETING = 256
+
+
+def _met(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Pairs l_*, r_* (l_id below r_id) of rows that share the keys, each pair once a key.
+
+    rows (id, part, ...) are checkpointed; part 0 meets only part 1, part 2 itself. Null keys meet nothing.
+    """
+    groups = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).filter("n > 1 AND (first < last OR last = 2)").drop("first", "last"))
+    dealt = attach(rows, groups, keys, "n", rows.count(), "inner").withColumn("blocks", F.ceil(F.col("n") / MEETING).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    parts = {"l": F.col("part"), "r": F.when(F.col("part") < 2, 1 - F.col("part")).otherwise(F.col("part"))}
+    l, r = (dealt.select(*keys, "a", "b", parts[s].alias("part"), *(F.col(c).alias(f"{s}_{c}") for c in ("own", *columns))) for s in "lr")
+    return l.join(r, [*keys, "a", "b", "part"]).filter((F.col("l_id") < F.col("r_id")) & ((F.col("a") == F.col("b")) | (F.col("l_own") != F.col("r_own")))).select(*(f"{s}_{c}" for s in "lr" for c in columns))
+
+
+def _rarest_first(rows: DataFrame) -> DataFrame:
+    """rows (id, words, ...) with the words of each ordered from the rarest to the most frequent."""
+    each = cut(rows.select("id", F.explode("words").alias("w")))
+    counts = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    placed = attach(each, counts, ["w"], "n", each.count(), "inner")
+    ordered = placed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("words"))
+    return rows.drop("words").join(ordered, "id")
+
+
+def _prefix_keys(words: Column, least: float) -> Column:
+    """(word, low, high) of a set with words in a common order: two sets of low and high words whose Jaccard similarity is at least `least` share one."""
+    m = F.size(words)
+    sizes = F.sequence(F.ceil(m * least - 1e-9).cast("int"), F.floor(m / least + 1e-9).cast("int"))
+    wanted = lambda s: F.ceil((m + s) * (least / (1 + least)) - 1e-9).cast("int")
+    return F.flatten(F.transform(sizes, lambda s: F.transform(F.slice(words, 1, m - wanted(s) + 1), lambda w: F.struct(w.alias("word"), F.least(m, s).alias("low"), F.greatest(m, s).alias("high")))))
+
+
+def mergeable_pairs(rows: DataFrame, threshold: float, window_days: int = 7) -> DataFrame:
+    """Of all pairs of rows those that can reach the threshold by their entity, type, time and words, with their score.
+
+    rows (id, title, evidence, entity, event_type, ts); ids are unique. Rows of one entity
+    all meet. Rows without a common entity reach the threshold only if their words overlap
+    by a least share, so they meet by their rarest words. No other pair can reach it.
+    """
+    w = L.PAIR_WEIGHTS
+    text = F.concat_ws(" ", "title", "evidence")
+    base = cut(rows.select("id", text.alias("text"), tokens(text).alias("words"), F.coalesce("entity", F.lit("")).alias("entity"), "event_type", "ts"))
+    columns = ["id", "text", "words", "entity", "event_type", "ts"]
+    found = _met(cut(base.filter("entity <> ''").withColumn("key", F.col("entity")).withColumn("part", F.lit(2))), ["key"], columns)
+    untyped = w["text"] + w["time"] + w["tokens"]
+    if threshold <= untyped + w["event_type"] + 1e-9:
+        typed = threshold > untyped + 1e-9
+        least = 1 - (untyped + w["event_type"] - threshold) / w["tokens"]
+        if least <= 1e-6:
+            raise ValueError("at this threshold rows without a common entity or word could merge")
+        kind = F.col("event_type") if typed else F.lit("")
+        keyed = _rarest_first(base).withColumn("k", F.explode(_prefix_keys(F.col("words"), least))).select(*columns, kind.alias("kind"), "k.*")
+        part = F.when(F.col("low") == F.col("high"), 2).when(F.size("words") == F.col("low"), 0).otherwise(1)
+        other = _met(cut(keyed.withColumn("part", part)), ["kind", "word", "low", "high"], columns).filter("l_entity = '' OR l_entity <> r_entity")
+        found = found.unionByName(other)
+    same_entity, same_event = (F.col("l_entity") != "") & (F.col("l_entity") == F.col("r_entity")), F.coalesce(F.col("l_event_type") == F.col("r_event_type"), F.lit(False))
+    score = lambda text: pair_score(text, same_entity, same_event, time_close("l_ts", "r_ts", window_days), jaccard(F.col("l_words"), F.col("r_words")))
+    open_ = found.withColumn("most", score(F.lit(1.0))).filter(F.col("most") >= threshold - 1e-9).dropDuplicates(["l_id", "r_id"])
+    spread = open_.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "l_id", "r_id")  # sequence ratios take CPU, not bytes
+    scored = spread.withColumn("ratio", sequence_ratio("l_text", "r_text"))
+    return scored.select(F.col("l_id").alias("left"), F.col("r_id").alias("right"), pair_key("l_id", "r_id").alias("pair_id"), score("ratio").alias("score"))
+
+
 def deduplicated(rows: DataFrame, key: str, print_: str, order: str) -> DataFrame:
     """Of rows with equal key and fingerprint the first."""
     return rows.withColumn("k", F.row_number().over(W.partitionBy(key, print_).orderBy(order))).filter("k = 1").drop("k")

@@ -259,10 +259,9 @@ q AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, k) AS ran
 
 
 def rule_clusters(spark, sf_dir):
-    """59, 85, 171, 172, 177: rule decisions on pairs of news of one subject and hour (the sequence ratio has no SQL)."""
-    n = news(spark, sf_dir).filter("publish_time IS NOT NULL AND entity <> ''")
-    rows = n.select("id", "title", F.substring("content", 1, 80).alias("evidence"), "entity", "event_type", F.col("publish_time").alias("ts"), F.col("user_id").alias("block_user"), F.date_trunc("DAY", "publish_time").alias("block_day"))
-    return clustering.rule_decisions(rows, ["block_user", "block_day"]).select("left", "right", "score", "merged", "method")
+    """59, 85, 171, 172, 177: rule decisions on all pairs of news that can merge, whatever their subject or time (the sequence ratio has no SQL)."""
+    rows = news(spark, sf_dir).select("id", "title", F.substring("content", 1, 80).alias("evidence"), "entity", "event_type", F.col("publish_time").alias("ts"))
+    return clustering.all_rule_decisions(rows).select("left", "right", "score", "merged", "method")
 
 
 QUERIES = {f.__name__: f for f in (subject_edges, workload_estimate, grouped_members, duplicate_pairs, edge_recall, definition_join, alias_routes, ledger_versions, run_integrity, feedback_append, review_context, subject_enrichment, key_overlap, event_components, component_quality, edge_clusters, top_pairs, rule_clusters)}

@@ -2,9 +2,14 @@
 
 import datetime
 import os
+import random
 from collections import Counter
 
-from millrace.plans import learned
+from pyspark.sql import functions as F
+
+from millrace.operators import clustering, pairs
+from millrace.plans import joining, learned
+from millrace.plans.bindings import news
 
 T = datetime.datetime(2024, 1, 1)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -34,3 +39,36 @@ def test_agent_decisions_judges_all_news(spark, tmp_path):
     found = {(r["decision"], r["baseline"], r["label"]): (r["n"], r["steps"]) for r in learned.agent_decisions(spark, folder).collect()}
     assert found == {k: (n, n * (3 if k[0] == "keep" else 1)) for k, n in expected.items()}
     assert sum(n for n, _ in found.values()) == len(rows)
+
+
+def _merged(decisions):
+    return {(r["left"], r["right"]): round(r["score"], 9) for r in decisions.filter("merged").collect()}
+
+
+def test_rule_clusters_equals_all_pairs(spark, tmp_path):
+    r = random.Random(5)
+    near = [(1, T - datetime.timedelta(minutes=1), 1, "click", 1.0, ""), (2, T, 1, "click", 1.0, "")]  # 23:59 and 00:00
+    rows = near + [(i, T + datetime.timedelta(hours=r.randint(0, 400)), r.randint(1, 6), r.choice(["click", "error", "view"]), 1.0, "") for i in range(3, 120)]
+    rows[96] = (97, T, 1, "click", 1.0, "")  # undated
+    folder = _tables(spark, tmp_path, events=(rows, EVENTS))
+    n = news(spark, folder).select("id", "title", F.substring("content", 1, 80).alias("evidence"), "entity", "event_type", F.col("publish_time").alias("ts"))
+    expected = _merged(clustering.rule_decisions(n, []))
+    found = _merged(joining.rule_clusters(spark, folder))
+    assert found == expected and (1, 2) in found
+    assert any(97 in k for k in found)
+
+
+def test_rule_decisions_over_all_pairs_without_common_entity(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["甲方", "乙方", "增长", "下降", "合同", "处罚", "公告", "订单"]
+    rows = []
+    for i in range(150):
+        said = " ".join(words[: r.choice([4, 5, 6])] + r.sample(words, r.choice([0, 0, 1])))
+        rows.append((i, said, r.choice(["e", "f"]), r.choice(["", "", "甲", "乙", None]), r.choice(["k", "z", None]), None if r.random() < 0.1 else T + datetime.timedelta(hours=r.randint(0, 90))))
+    df = spark.createDataFrame(rows, "id long, title string, evidence string, entity string, event_type string, ts timestamp_ntz")
+    monkeypatch.setattr(pairs, "MEETING", 16)  # groups are dealt into several blocks
+    every = clustering.rule_decisions(df, [])
+    apart = every.join(df.select(F.col("id").alias("left"), "entity"), "left").filter("merged AND coalesce(entity, '') = ''")
+    assert apart.count() > 0
+    found = clustering.all_rule_decisions(df)
+    assert _merged(found) == _merged(every) and found.count() == found.select("left", "right").distinct().count()
