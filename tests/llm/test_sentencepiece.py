@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,16 +12,6 @@ def vocabulary():
     return s.load()
 
 
-def best_score(unit, v, scores):
-    best = [0.0] + [float("-inf")] * len(unit)
-    for j in range(1, len(unit) + 1):
-        for i in range(max(0, j - v.longest), j):
-            piece = scores.get(unit[i:j], v.unknown if j - i == 1 else None)
-            if piece is not None:
-                best[j] = max(best[j], best[i] + piece)
-    return best[-1]
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
 def test_round_trip(text):
@@ -30,31 +19,76 @@ def test_round_trip(text):
     assert s.decode(s.Encoder(v).encode([text])[0], v.surfaces) == text
 
 
-def test_paths_have_the_best_score(vocabulary):
-    from sentencepiece import sentencepiece_model_pb2 as proto
+@pytest.fixture(scope="module")
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=s.DEFAULT_MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet=" abcdehinrstuy.,0123459éßñ梦の😀\n\t", max_size=60), st.text(max_size=30), st.lists(st.sampled_from(PIECES), max_size=14).map("".join)))
+def test_ids_are_the_library_s(library, vocabulary, text):
+    text = text.replace("▁", "")
+    assert s.Encoder(vocabulary).encode([text])[0] == library.encode(text)
+
+
+def test_ids_of_all_documents_are_the_library_s(library, vocabulary):
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    own = s.Encoder(vocabulary).encode(texts)
+    assert len(texts) == 1000 and [i for i, t in enumerate(texts) if "▁" not in t and own[i] != library.encode(t)] == []
 
-    m = proto.ModelProto()
-    m.ParseFromString(open(s.DEFAULT_MODEL, "rb").read())
-    scores = {p.piece: p.score for p in m.pieces if p.type in (1, 4)}
-    units = ["▁hello", "▁the", "▁▁▁end", "▁internationalisation", "▁hend", "▁qxzj", "▁über", "a"]
-    for unit, held in zip(units, s.segment(units, vocabulary)):
-        ids = np.frombuffer(held, np.int32).tolist()
-        own = sum(m.pieces[i].score if m.pieces[i].type in (1, 4) else 0 for i in ids)
-        if all(m.pieces[i].type in (1, 4) for i in ids):
-            assert own == pytest.approx(best_score(unit, vocabulary, scores))
-            assert "".join(m.pieces[i].piece for i in ids) == unit
 
+def test_runs_of_spaces(library, vocabulary):
+    texts = [" " * k + w for k in range(70) for w in ("", "the", "7", "梦")]
+    assert s.Encoder(vocabulary).encode(texts) == [library.encode(t) for t in texts]
 
-def test_words_as_the_library_segments_them_as_a_unigram_model(vocabulary):
+
+def test_long_units(library, vocabulary):
+    import random
+    import time
+
+    r = random.Random(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "的一是不了人我在有他这中大来上国", "a", "ab", "=", "é梦x"):
+        text = "".join(r.choice(alphabet) for _ in range(30_000))
+        assert s.Encoder(vocabulary).encode([text])[0] == library.encode(text), alphabet
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.perf_counter()
+    ids = s.Encoder(vocabulary).encode([text])[0]
+    assert time.perf_counter() - began < 60 and s.decode(ids, vocabulary.surfaces) == text
+
+
+def test_every_kind_of_code_point_comes_back(vocabulary):
+    points = [*range(0x500), *range(0x2570, 0x2590), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), *range(0xFDC8, 0xFDF8), *range(0xFFF0, 0x10010), 0x1FFFE, 0x1F600, 0x10FFFF]
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} " for c in points]
+    v = vocabulary
+    assert [s.decode(i, v.surfaces) for i in s.Encoder(v).encode(texts)] == texts
+
+
+def test_unigram_scores_are_summed(vocabulary, tmp_path):
     from sentencepiece import SentencePieceProcessor
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     m = proto.ModelProto()
     m.ParseFromString(open(s.DEFAULT_MODEL, "rb").read())
     m.trainer_spec.model_type = 1
-    library = SentencePieceProcessor(model_proto=m.SerializeToString())
+    (tmp_path / "m").write_bytes(m.SerializeToString())
+    unigram = SentencePieceProcessor(model_proto=m.SerializeToString())
     words = ["hello", "the", "reading", "quite", "antidisestablishment", "zebra", "hend", "world", "thereon", "running", "ouvert", "straße"]
-    assert s.Encoder(vocabulary).encode(words) == [library.nbest_encode_as_ids(w, 2)[0] for w in words]
+    assert s.Encoder(s.load(str(tmp_path / "m"))).encode(words) == [unigram.nbest_encode_as_ids(w, 2)[0] for w in words]
+
+
+def test_other_models_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(open(s.DEFAULT_MODEL, "rb").read())
+    m.trainer_spec.model_type = 3
+    (tmp_path / "m").write_bytes(m.SerializeToString())
+    with pytest.raises(ValueError):
+        s.load(str(tmp_path / "m"))
 
 
 def test_memory_of_units_is_bounded(vocabulary, monkeypatch):
