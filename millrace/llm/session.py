@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import attach, cut, remove, shared_folder, small_enough, table
 
-__all__ = ["attach", "cut", "documents", "fold", "remove", "shared_folder", "small_batches", "small_enough", "table"]
+__all__ = ["attach", "cut", "documents", "fold", "partitions", "remove", "shared_folder", "small_batches", "small_enough", "table"]
 
 #: Rows and bytes in one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS = 512
@@ -30,3 +30,8 @@ def fold(doc_id: Column, buckets: int) -> Column:
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty; other columns, whatever their names, go."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for stages whose work isn't in proportion to their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
