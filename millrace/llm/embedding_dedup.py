@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.near_dedup import runs
-from millrace.llm.session import attach, cut, small_batches, table
+from millrace.llm.session import attach, cut, partitions, small_batches, table
 from millrace.operators.components import components
 
 THRESHOLD = 0.98
@@ -35,19 +35,21 @@ THRESHOLD = 0.98
 PROBES = 4
 TABLES = {1: 2}
 MORE_TABLES = 3
-#: Vectors that a bucket name's first vertex is meant to divide; each further vertex divides by twice the dimension.
-DIVIDED = 500_000
 BLOCK = 512
+#: Blocks that a bucket of the largest label is meant to fill; a vector is sent once for each.
+BLOCKS = 4
 
 
-def plan(largest: int, dimension: int) -> tuple[int, int]:
+def plan(largest: int, dimension: int, probes: int = PROBES) -> tuple[int, int]:
     """(vertices of a bucket's name, tables) for so many distinct vectors of one label.
 
-    Names grow with the logarithm of the vectors, so that buckets don't; the chance to miss
-    a pair stays below 0.00002.
+    Names grow with the logarithm of the vectors, so that buckets, and with them the times
+    that a vector is sent, don't. The chance to miss a pair at exactly the threshold
+    is below 0.00002 up to 64 dimensions and about 0.0002 at 768; it falls fast above it.
     """
+    names = 2 << max(0, (dimension - 1).bit_length())
     vertices = 1
-    while largest > DIVIDED * (2 * dimension) ** (vertices - 1):
+    while largest * probes**vertices > BLOCKS * BLOCK * names**vertices and probes < names:
         vertices += 1
     return vertices, TABLES.get(vertices, MORE_TABLES)
 
@@ -169,7 +171,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
     Vectors are compared only when their labels are equal and not null, and their lengths
     equal. A vector that is null, empty, zero, or holds a null, NaN or infinity links with
     nothing, nor does one without id. Repeated rows are vectors of their own, linked with
-    each other. Empty input gives no rows.
+    each other; so are the vectors of an id that has several, or the same under several
+    labels, which are linked only if they are alike. Empty input gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -179,12 +182,20 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
     keyed = cut(rows.select("vec_id", "label", "sound", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(7), F.col("embedding"), F.size("embedding")).alias("k2")))
     key = ["label", "k1", "k2"]
     total = keyed.count()
-    classes = cut(keyed.filter("sound").groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("node")))
-    # one vector of each class; ids may be repeated
-    held = rows.filter("sound").withColumn("k1", F.xxhash64("embedding")).join(classes.select("label", "k1", "copies", "node", F.col("node").alias("vec_id")), ["label", "k1", "vec_id"]).select("node", "label", "embedding", "copies").dropDuplicates(["node", "label"])
+    classes = cut(keyed.filter("sound").groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")))
+    # a class is a node named by its least id, or by its key where that id stands for several classes
+    several = cut(classes.groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("least", F.lit(True).alias("several")))
+    renamed = several.head(1) != []
+    if renamed:
+        classes = cut(classes.join(several, "least", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*key)).otherwise(F.col("least"))).drop("several"))
+    else:
+        classes = classes.withColumn("node", F.col("least"))
+    # one vector of each class
+    held = rows.filter("sound").withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(7), F.col("embedding"), F.size("embedding")))
+    held = held.join(classes.select(*key, "copies", "node", F.col("least").alias("vec_id")), [*key, "vec_id"]).select("node", "label", "embedding", "copies").dropDuplicates(["node"])
     held = cut(held)
     sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
-    planned = plan(sizes["n"] or 0, sizes["d"] or 1)
+    planned = plan(sizes["n"] or 0, sizes["d"] or 1, probes)
     vertices, tables = vertices or planned[0], tables or planned[1]
     placed = cut(held.select("node", "label", "embedding").mapInArrow(partial(_place, tables=tables, vertices=vertices, probes=probes), "node long, label string, size long, tbl int, bucket long, home boolean"))
     name = ["label", "size", "tbl", "bucket"]
@@ -193,13 +204,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
     dealt = attach(placed, full, name, "members", tables * probes**vertices * total, "inner").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.xxhash64(*name, F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(block.alias("block"), "tbl", "bucket", (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "home")
-    met = dealt.join(held, ["node", "label"]).select("block", "tbl", "bucket", "side", "node", "home", "copies", "embedding").repartition("block").sortWithinPartitions("block", "side", "node")
+    dealt = dealt.select(block.alias("block"), "tbl", "bucket", (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "home")
+    met = dealt.join(held.drop("label"), "node").select("block", "tbl", "bucket", "side", "node", "home", "copies", "embedding").repartition(partitions(spark), "block").sortWithinPartitions("block", "side", "node")
     found = cut(met.mapInArrow(partial(_compare, threshold=threshold, vertices=vertices, probes=probes), "node long, links long, root long"))
     reached = components(found.select("node", "root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     where = classes.join(links, "node", "left").join(reached, "node", "left")
-    where = cut(where.select(*key, "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    where = cut(where.select(*key, "copies", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    if renamed:  # a component is named by the least id of its classes
+        least = cut(where.groupBy("component_id").agg(F.min("least").alias("id"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        placed = attach(where, least, ["component_id"], "n", total)
+        where = cut(placed.select(*key, "copies", "n_links", F.coalesce("id", "least").alias("component_id")))
     known = attach(keyed.filter("sound"), where, key, "copies", total, "inner").select("vec_id", "n_links", "component_id")
     other = keyed.filter("NOT sound").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = known.unionByName(other)

@@ -104,4 +104,27 @@ def test_recall_of_buckets():
 
 
 def test_names_grow_with_the_logarithm_of_the_vectors():
-    assert e.plan(0, 1) == (1, 2) and e.plan(500_000, 64) == (1, 2) and e.plan(500_001, 64)[0] == 2 and e.plan(10**9, 64) == (3, 3)
+    assert e.plan(0, 1) == (1, 2) and e.plan(65_536, 64) == (1, 2) and e.plan(65_537, 64) == (2, 3) and e.plan(10**9, 64) == (4, 3)
+    for n in (10**4, 10**6, 10**8, 10**10):  # a vector is sent for few blocks of a bucket, however many vectors there are
+        vertices, _ = e.plan(n, 64)
+        assert n * e.PROBES**vertices / 128**vertices <= e.BLOCKS * e.BLOCK
+
+
+def test_an_id_with_several_vectors_or_labels(spark):
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=64), r.normal(size=64)
+    rows = [(5, a, 1), (5, b, 1), (6, near(r, a, 0.05), 1), (7, near(r, b, 0.05), 1), (5, a, 2), (9, near(r, a, 0.05), 2), (3, near(r, b, 0.04), 1), (8, b, 1), (5, b, 3)]
+    rows = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in rows]
+    assert found(e.near_vectors(table(spark, rows))) == expected(rows)
+
+
+@pytest.mark.parametrize(("dimension", "vertices"), [(64, 1), (64, 2), (64, 3), (768, 1), (768, 2), (768, 3)])
+def test_recall_at_the_threshold(dimension, vertices):
+    r = np.random.default_rng(dimension + vertices)
+    x = e.unit_rows(r.normal(size=(600, dimension)))
+    y = np.array([near(r, v, math.acos(0.98)) for v in x])
+    met = np.zeros(600, bool)
+    for t in range(e.TABLES.get(vertices, e.MORE_TABLES)):
+        p, q = e.buckets(x, t, vertices), e.buckets(y, t, vertices)
+        met |= (p == q[:, :1]).any(1) | (q == p[:, :1]).any(1)
+    assert met.mean() > 0.99
