@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.session import attach, cut, remove, shared_folder, small_batches, table
@@ -222,12 +222,19 @@ def normalise_files(decisions: DataFrame, folder: str, target: str) -> DataFrame
     return decisions.select("file", "position", "repeat", "refers_to").mapInArrow(run, "file string, position long, offset long, length long")
 
 
-def read_back(index: DataFrame, folder: str) -> DataFrame:
-    """Read every record of index (file, position, offset, length) by its offset.
+def sidecar_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The sidecars of the archives under folder: file, position, offset, length. At least one must be there."""
+    lines = spark.read.schema("position long, offset long, length long").json(f"{folder}/*.index.jsonl")
+    return lines.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.index\.jsonl$", 1).alias("file"), "position", "offset", "length")
+
+
+def read_back(index: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+    """Read every record of index (file, position, offset, length) by its offset, in a task for each of files.
 
     -> page_id, payload_bytes, payload_digest, record_type, refers_to, url, and payload
     (null for revisits). A response's digest and length are taken from its payload; a
-    digest that its header contradicts raises an error.
+    digest that its header contradicts raises an error. A revisit has no payload: its
+    digest and length are those that its headers say.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +265,10 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
         if held is not None:
             held.close()
 
-    return index.select("file", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    slim = index.select("file", "offset", "length")
+    if files:
+        slim = slim.repartition(files, "file").sortWithinPartitions("file", "offset")
+    return slim.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -279,14 +289,19 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     decided = attach(lines, groups, ["digest", "payload_bytes"], "members", lines.count())
     repeat = F.col("members").isNotNull() & ~((F.col("file") == F.col("first_file")) & (F.col("position") == F.col("first_position")))
     decided = decided.select("file", "position", repeat.alias("repeat"), "refers_to")
-    return cut(normalise_files(decided.repartition("file").sortWithinPartitions("file", "position"), mono, folder))
+    # a line stands for a whole page, so tasks are counted by files and not by the bytes of lines
+    files = lines.select("file").distinct().count()
+    return cut(normalise_files(decided.repartition(max(1, files), "file").sortWithinPartitions("file", "position"), mono, folder))
 
 
 def op8_warc(spark, sf_dir):
     """Every page's record, as read back from the archives it was written to."""
     folder = shared_folder(spark, "warc")
     index = archive(table(spark, sf_dir, "pages"), folder)
-    found = cut(read_back(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    files = index.select("file").distinct().count()
+    if files:
+        index = sidecar_index(spark, folder)
+    found = cut(read_back(index, folder, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
     remove(spark, folder)
     return found
 

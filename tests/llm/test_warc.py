@@ -75,3 +75,12 @@ def test_no_pages(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/none"
     assert w.read_back(w.archive(none, folder), folder).count() == 0
+
+
+def test_the_sidecars_are_the_index(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 7}</p>") for i in range(200)], "page_id long, url string, html string").repartition(5)
+    index = w.archive(df, str(tmp_path / "a"))
+    side = w.sidecar_index(spark, str(tmp_path / "a"))
+    assert sorted(map(tuple, side.collect())) == sorted(map(tuple, index.collect())) and side.select("file").distinct().count() == 5
+    back = w.read_back(side, str(tmp_path / "a"), 5)
+    assert back.rdd.getNumPartitions() == 5 and back.filter("record_type = 'response'").count() == 7 and back.count() == 200
