@@ -4,7 +4,8 @@ The tree is domain, language, source. A token budget flows down it: a node's bud
 shared among its children by weight, a child never gets more than its subtree holds
 (its tokens times the allowed epochs), and what it can't take is shared among its
 siblings; only when all siblings are full does the rest go unspent to the ancestor's
-own siblings, because the ancestor's capacity was the bound of its own share.
+own siblings, because the ancestor's capacity was the bound of its own share. What stands
+below a weight of 0 can't be taken and counts in no ancestor's capacity.
 
 A leaf's documents are read in epochs, each in the order of a seeded hash. It takes
 whole epochs and then the longest prefix of the next one whose tokens fit the rest.
@@ -70,13 +71,16 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 
 def allocate(leaves: DataFrame, share: tuple[int, int], epochs: int, domain_weights, lang_weights, source_weights) -> DataFrame:
     """leaves (domain, lang, source, tokens) with the granted tokens of each."""
-    held = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    domains = held.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+    takes = lambda name: F.when(F.col("weight") > 0, F.col(name)).otherwise(F.lit(0))
+    held = leaves.withColumn("weight", weight_of("source", source_weights)).withColumn("capacity", takes("tokens") * epochs)
+    by_lang = held.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+    by_lang = by_lang.withColumn("weight", weight_of("lang", lang_weights)).withColumn("capacity", takes("capacity"))
+    domains = by_lang.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
     domains = domains.withColumn("budget", F.expr(f"(sum(tokens) OVER () * {share[0]}) div {share[1]}")).withColumn("weight", weight_of("domain", domain_weights))
     domains = share_out(domains.withColumn("root", F.lit(0)), ["root"], "domain").select("domain", F.col("granted").alias("budget"))
-    langs = held.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(domains, "domain").withColumn("weight", weight_of("lang", lang_weights))
+    langs = by_lang.drop("tokens").join(domains, "domain")
     langs = share_out(langs, ["domain"], "lang").select("domain", "lang", F.col("granted").alias("budget"))
-    sources = held.join(langs, ["domain", "lang"]).withColumn("weight", weight_of("source", source_weights))
+    sources = held.join(langs, ["domain", "lang"])
     return share_out(sources, ["domain", "lang"], "source").select(*LEAF, "tokens", "docs", "granted")
 
 

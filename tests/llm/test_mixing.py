@@ -11,37 +11,42 @@ from millrace.llm import mixing as m
 def brute(rows, share, epochs, seed, dw, lw, sw):
     """rows (doc_id, domain, lang, source, tokens) -> copies by doc_id, by a plain walk of the tree."""
 
-    def fill(budget, children):  # name: (weight, capacity)
-        left, granted = {k: (w, c if w else 0) for k, (w, c) in children.items()}, {}  # without weight, nothing
-        while left:
-            total = sum(w for w, _ in left.values())
-            full = [k for k, (w, c) in left.items() if c * total <= budget * w]
-            if not full:
-                return granted | {k: budget * w // total if total else 0 for k, (w, _) in left.items()}
-            for k in full:
-                granted[k] = left[k][1]
-            budget -= sum(left.pop(k)[1] for k in full)
-        return granted
-
     leaves = {}
     for r in rows:
         leaves.setdefault(r[1:4], []).append(r)
-    cap = lambda test: sum(r[4] for leaf, own in leaves.items() if test(leaf) for r in own) * epochs
-    total = sum(r[4] for r in rows)
+    weights = [lambda x: dw.get(x[0], 1), lambda x: lw.get(x[1], 1), lambda x: sw.get(x[2], 1)]
+
+    def room(prefix):
+        """What the leaves below a node may take: nothing where a weight on the way is 0."""
+        return sum(r[4] * epochs for leaf, own in leaves.items() if leaf[: len(prefix)] == prefix and all(weights[k](leaf) for k in range(len(prefix), 3)) for r in own)
+
+    def share_out(prefix, budget):
+        """Pour the budget of a node over its children until none that has room is left out of a full round."""
+        depth = len(prefix)
+        if depth == 3:
+            return {prefix: budget}
+        open_, out, left = {x[: depth + 1] for x in leaves if x[:depth] == prefix}, {}, budget
+        open_ = {c for c in open_ if weights[depth](c) or out.setdefault(c, 0)}
+        while True:
+            total = sum(weights[depth](c) for c in open_)
+            full = {c for c in open_ if room(c) * total <= left * weights[depth](c)}
+            if not full:
+                break
+            out |= {c: room(c) for c in full}
+            left, open_ = left - sum(map(room, full)), open_ - full
+        out |= {c: left * weights[depth](c) // total for c in open_}
+        return {leaf: n for c in out for leaf, n in share_out(c, out[c]).items()}
+
     copies = {}
-    top = fill(total * share[0] // share[1], {d: (dw.get(d, 1), cap(lambda x, d=d: x[0] == d)) for d in {x[0] for x in leaves}})
-    for d, db in top.items():
-        langs = fill(db, {g: (lw.get(g, 1), cap(lambda x, d=d, g=g: x[:2] == (d, g))) for g in {x[1] for x in leaves if x[0] == d}})
-        for g, gb in langs.items():
-            for s, b in fill(gb, {s: (sw.get(s, 1), cap(lambda x, d=d, g=g, s=s: x == (d, g, s))) for s in {x[2] for x in leaves if x[:2] == (d, g)}}).items():
-                own = leaves[d, g, s]
-                tokens = sum(r[4] for r in own)
-                whole = b // tokens if tokens else 0
-                rest = b - whole * tokens
-                run = 0
-                for r in sorted(own, key=lambda r: (hashlib.md5(f"{seed}|{whole + 1}|{r[0]}".encode()).hexdigest(), r[0])):
-                    run += r[4]
-                    copies[r[0]] = whole + (1 if run <= rest and whole < epochs else 0)
+    for leaf, b in share_out((), sum(r[4] for r in rows) * share[0] // share[1]).items():
+        own = leaves[leaf]
+        tokens = sum(r[4] for r in own)
+        whole = b // tokens if tokens else 0
+        rest = b - whole * tokens
+        run = 0
+        for r in sorted(own, key=lambda r: (hashlib.md5(f"{seed}|{whole + 1}|{r[0]}".encode()).hexdigest(), r[0])):
+            run += r[4]
+            copies[r[0]] = whole + (1 if run <= rest and whole < epochs else 0)
     return copies
 
 
@@ -63,6 +68,13 @@ def test_shortage_goes_to_siblings_first(spark):
     assert granted == {"a1": 2, "a2": 48, "b1": 50}  # half of 202 tokens: 50 a domain, and a2 takes what a1 hasn't
 
 
+def test_what_stands_below_a_weight_of_0_takes_no_budget(spark):
+    rows = [(1, "w " * 500, "en", "a1", "A"), (2, "w " * 500, "de", "a2", "A"), (3, "w " * 1000, "de", "b1", "B")]
+    out = m.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, dom string"), F.col("dom"), (1, 2), 1, "t", {"A": 7, "B": 1}, {"en": 0}, {})
+    granted = {r["source"]: r["leaf_granted"] for r in out.collect()}
+    assert granted == {"a1": 0, "a2": 500, "b1": 500}  # A may take 500 of its 875, so B has all the rest
+
+
 def test_hard_rows(spark, hard_rows, no_rows):
     out = m.mix(hard_rows)
     assert out.count() == hard_rows.count() and out.filter("copies IS NULL OR copies < 0 OR copies > 2").count() == 0
