@@ -17,8 +17,17 @@ def test_clauses(clause, weight):
     assert (n, most) == ((0, 0.0) if weight is None else (1, pytest.approx(weight)))
 
 
-def test_negation_and_report_end_with_their_clause():
-    assert GRAMMAR.evidence("not. moron")[1] == 4.0 and GRAMMAR.evidence("he said, moron")[1] == 4.0
+def test_negation_ends_with_its_clause_and_reach():
+    assert GRAMMAR.evidence("not. moron")[1] == 4.0 and GRAMMAR.evidence("not at all one moron")[1] == 4.0
+    assert GRAMMAR.evidence("not a complete moron")[1] == pytest.approx(1.6) and GRAMMAR.evidence("he isn’t a moron")[1] == pytest.approx(1.6)
+
+
+@pytest.mark.parametrize(("text", "weight"), [
+    ('he said: "you moron"', 2.5), ('"you moron," he said', 2.5), ("she said, you are a moron", 2.5), ("„you moron“, sagte er", 2.5), ("he told us «fine. you moron!» again", 2.5), ("he said, moron", 2.0),
+    ('a "moron" you are', 5.0), ('he said "fine" and left. you moron', 5.0), ("he said it. you moron", 5.0), ("you moron, that is what i think", 5.0), ('they left "here" you moron "there"', 5.0),
+])
+def test_reported_speech_is_weakened(text, weight):
+    assert GRAMMAR.evidence(text)[1] == pytest.approx(weight)
 
 
 def test_every_clause_counts():
@@ -40,6 +49,12 @@ def test_hard_rows(spark, hard_rows, no_rows):
     assert t.score(no_rows, GRAMMAR).count() == 0
 
 
+def test_a_row_without_id_is_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "a"), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"]: r["held_out"] for r in t.op1_toxicity(spark, str(tmp_path)).collect()}[None] is False
+
+
 def test_samples_without_a_class(spark, no_rows):
     docs = no_rows.select("doc_id", "text")
     labels = spark.createDataFrame([(1, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
