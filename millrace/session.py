@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: A group with more than 1 / HEAVY of all rows is heavy, so at most HEAVY groups are.
 HEAVY = 1000
-#: Rows that a broadcast may have where no other bound is known; beyond it a shuffled join is used.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a broadcast may have where no other bound is known; beyond it a shuffled join is used.
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,6 +27,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -33,7 +35,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (single-machine tests) is a folder chosen here.
+    Only where that setting is absent, on a single machine (tests), is a folder chosen here.
     """
     context = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -42,6 +44,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if context.getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master()):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-"))
     return context.getCheckpointDir().get()
 
@@ -77,15 +81,30 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(F.broadcast(few), keys, "left_anti").join(light, keys, how))
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df, which should be checkpointed, has at most so many rows. Counted without a shuffle of rows."""
-    return df.count() <= rows
+def held_bytes(df: DataFrame) -> int:
+    """About what df's rows take in a broadcast relation: eight bytes a column and forty a row, and the sizes of strings, binaries and arrays."""
+    sizes = [F.lit(40 + 8 * len(df.columns)).cast("bigint")]
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(c))
+        elif kind.startswith(("array", "map")):
+            sizes.append(F.octet_length(F.to_json(c)) if "string" in kind or "struct" in kind else F.greatest(F.size(c), F.lit(0)) * 8)
+        elif kind.startswith("struct"):
+            sizes.append(F.octet_length(F.to_json(c)))
+    each = sum((F.coalesce(x, F.lit(0)) for x in sizes[1:]), sizes[0])
+    return int(df.agg(F.sum(each)).first()[0] or 0)
 
 
-def dimension(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df, computed once, to be broadcast in a join if it has at most so many rows; a larger one is joined as Spark sees fit."""
+def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df, which should be checkpointed, takes at most so many bytes. Summed without a shuffle of rows."""
+    return held_bytes(df) <= most
+
+
+def dimension(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, computed once, to be broadcast in a join if it takes at most so many bytes; a larger one is joined as Spark sees fit."""
     held = cut(df)
-    return F.broadcast(held) if small_enough(held, rows) else held
+    return F.broadcast(held) if small_enough(held, most) else held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
