@@ -12,7 +12,9 @@ from millrace.streaming import events as streams
 T = datetime.datetime(2024, 1, 1)
 
 
-def test_components_chain_cycle_loop_and_repeats(spark):
+@pytest.mark.parametrize("few", [components.FEW, -1])
+def test_components_chain_cycle_loop_and_repeats(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)  # in one task, and in rounds
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 52), (52, 50), (60, 60), (70, 71), (71, 70), (70, 71)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.components(edges.repartition(7)).collect()}
     assert {found[i] for i in range(1, 41)} == {1} and {found[i] for i in (50, 51, 52)} == {50} and found[71] == 70 and 60 not in found
