@@ -5,6 +5,7 @@ Their rows are news grouped by user: a cluster is what one user's events report.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace import lexicon as L
@@ -232,26 +233,32 @@ SELECT vec_id AS article_id, CASE WHEN n = 1 THEN '3' WHEN n = 0 AND g THEN b[1]
   CASE WHEN n = 1 THEN 'unique_exact_alias' WHEN n = 0 AND g THEN 'score_and_margin_gate_met' WHEN n > 1 THEN 'ambiguous_exact_alias' ELSE 'hard_route_gate_not_met' END AS reason, array_to_string(b[:3], ',') AS best FROM h"""
 
 
+def _first_of_labels(v, n):
+    """The n vectors of each label with the smallest ids; Spark cuts to n a label in front of the shuffle."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    return v.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place")
+
+
 def constrained_recall(spark, sf_dir):
-    """90, 230, 236: the best definitions among those of each vector's subjects."""
+    """90, 230, 236: the best definitions among those of each vector's subjects; the first six vectors of each label are definitions."""
     v = _vectors(spark, sf_dir)
-    definitions = v.filter("vec_id < 60").select((F.col("vec_id") % 10).cast("string").alias("subject_code"), F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("event_name"), "embedding")
+    definitions = _first_of_labels(v, 6).select(F.col("label").cast("string").alias("subject_code"), F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("event_name"), "embedding")
     a = v.select(F.col("vec_id").alias("article_id"), "embedding", F.array(F.col("label").cast("string"), ((F.col("label") + 1) % 10).cast("string")).alias("codes"))
     return vectors.recall(a, definitions).select("article_id", F.col("candidate_count").cast("bigint").alias("candidate_count"), F.array_join(F.transform("candidates", lambda c: c["event_name"]), ",").alias("best"))
 
 
-CONSTRAINED_RECALL = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS article_id, 'e' || lpad(d.vec_id::VARCHAR, 3, '0') AS n, round_even(list_cosine_similarity(a.v, d.v), 6) AS s FROM e a JOIN e d ON d.vec_id < 60 AND d.vec_id % 10 IN (a.label, (a.label + 1) % 10))
+CONSTRAINED_RECALL = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), p AS (SELECT a.vec_id AS article_id, 'e' || lpad(d.vec_id::VARCHAR, 3, '0') AS n, round_even(list_cosine_similarity(a.v, d.v), 6) AS s FROM e a JOIN e d ON d.k <= 6 AND d.label IN (a.label, (a.label + 1) % 10))
 SELECT article_id, count(*) AS candidate_count, array_to_string(list(n ORDER BY s DESC, n)[:3], ',') AS best FROM p GROUP BY 1"""
 
 
 def exemplar_labels(spark, sf_dir):
-    """237, 257: the label whose three nearest exemplars are closest on average."""
+    """237, 257: the label whose three nearest exemplars are closest on average, of every vector but the exemplars, the first ten of each label."""
     v = _vectors(spark, sf_dir)
-    s = vectors.exemplar_scores(v.filter("vec_id < 100"), v.filter("vec_id >= 100 AND vec_id % 5 = 0"), "label", "embedding", "vec_id", 3)
+    s = vectors.exemplar_scores(e := _first_of_labels(v, 10), v.join(F.broadcast(e.select("vec_id")), "vec_id", "left_anti"), "label", "embedding", "vec_id", 3)
     return vectors.group_best(s.withColumnRenamed("vec_id", "row").withColumn("place", F.col("label"))).select("row", "label")
 
 
-EXEMPLAR_LABELS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS row, t.label, list_cosine_similarity(q.v, t.v) AS c FROM e q, e t WHERE q.vec_id >= 100 AND q.vec_id % 5 = 0 AND t.vec_id < 100),
+EXEMPLAR_LABELS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), p AS (SELECT q.vec_id AS row, t.label, list_cosine_similarity(q.v, t.v) AS c FROM e q, e t WHERE q.n > 10 AND t.n <= 10),
 k AS (SELECT *, row_number() OVER (PARTITION BY row, label ORDER BY c DESC) AS k FROM p), a AS (SELECT row, label, avg(c) AS s FROM k WHERE k <= 3 GROUP BY ALL)
 SELECT row, arg_max(label, s) AS label FROM a GROUP BY 1"""
 
@@ -259,14 +266,14 @@ SELECT row, arg_max(label, s) AS label FROM a GROUP BY 1"""
 def prototype_labels(spark, sf_dir):
     """238, 239: the label of the best Rocchio prototype of every vector."""
     v = _vectors(spark, sf_dir)
-    p = vectors.rocchio(v.filter("vec_id % 2 = 0"), "label", "embedding", 0.25).select(F.col("label").alias("proto"), "prototype")
-    s = vectors.dot_scores(v.filter("vec_id % 2 = 1").select("vec_id", "embedding"), p, "embedding")
+    p = vectors.rocchio(v, "label", "embedding", 0.25).select(F.col("label").alias("proto"), "prototype")
+    s = vectors.dot_scores(v.select("vec_id", "embedding"), p, "embedding")
     return s.groupBy("vec_id").agg(F.max_by("proto", "score").alias("label"))
 
 
-PROTOTYPE_LABELS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT label, i, sum(v[i]) AS s, count(*) AS n FROM e, range(1, 65) r(i) WHERE vec_id % 2 = 0 GROUP BY ALL),
+PROTOTYPE_LABELS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT label, i, sum(v[i]) AS s, count(*) AS n FROM e, range(1, 65) r(i) GROUP BY ALL),
 m AS (SELECT label, i, s / n - 0.25 * (sum(s) OVER (PARTITION BY i) - s) / (sum(n) OVER (PARTITION BY i) - n) AS m FROM s), p AS (SELECT label, list(m ORDER BY i) AS p FROM m GROUP BY 1), u AS (SELECT label, list_transform(p, lambda x: x / sqrt(list_dot_product(p, p))) AS p FROM p)
-SELECT vec_id, arg_max(u.label, list_dot_product(v, p)) AS label FROM e, u WHERE vec_id % 2 = 1 GROUP BY 1"""
+SELECT vec_id, arg_max(u.label, list_dot_product(v, p)) AS label FROM e, u GROUP BY 1"""
 
 
 def hard_negative_labels(spark, sf_dir):

@@ -165,13 +165,13 @@ SELECT 'FB-' || substr(sha256(concat_ws('|', 'R' || conv_id, sha256(conv_id::VAR
 
 
 def review_context(spark, sf_dir):
-    """97: review items with the context of their article, 40 characters of it."""
+    """97: review items with the context of their article, 1,200 characters of it."""
     a = articles(spark, sf_dir).select(F.col("id").cast("string").alias("article_id"), "title", "content", "source", F.col("ts").alias("publish_time"))
-    q = a.filter("article_id % 10 = 0").select(F.concat(F.lit("R"), "article_id").alias("review_id"), F.lit("p").alias("provenance_hash"), "article_id", F.lit("e").alias("baseline_event"), F.array().cast("array<string>").alias("candidate_events"), F.lit(0.5).alias("svc_margin"), F.lit("s").alias("route_status"))
-    return pairs.review_packet(q, a.unionByName(a), 40).select("review_id", "title", "source", "content_preview")
+    q = a.select(F.concat(F.lit("R"), "article_id").alias("review_id"), F.lit("p").alias("provenance_hash"), "article_id", F.lit("e").alias("baseline_event"), F.array().cast("array<string>").alias("candidate_events"), F.lit(0.5).alias("svc_margin"), F.lit("s").alias("route_status"))
+    return pairs.review_packet(q, a.unionByName(a), 1200).select("review_id", "title", "source", "content_preview")
 
 
-REVIEW_CONTEXT = f"WITH {ARTICLES_SQL} SELECT 'R' || id AS review_id, title, source, substring(content, 1, 40) AS content_preview FROM articles WHERE id % 10 = 0"
+REVIEW_CONTEXT = f"WITH {ARTICLES_SQL} SELECT 'R' || id AS review_id, title, source, substring(content, 1, 1200) AS content_preview FROM articles"
 
 
 def subject_enrichment(spark, sf_dir):
@@ -188,13 +188,13 @@ SELECT *, code AS subject FROM x"""
 
 
 def key_overlap(spark, sf_dir):
-    """103, 164, 165: how many words the benchmark and the documents' titles share."""
+    """103, 164, 165: how many words the benchmark and the documents' whole texts share."""
     words = lambda df, c: df.select(F.explode(text.tokens(c)).alias("w"))
-    return pairs.overlap(words(table(spark, sf_dir, "benchmark"), "text"), words(articles(spark, sf_dir), "title"), "w").drop("share")
+    return pairs.overlap(words(table(spark, sf_dir, "benchmark"), "text"), words(articles(spark, sf_dir), "content"), "w").drop("share")
 
 
 KEY_OVERLAP = f"""WITH {ARTICLES_SQL}, a AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]+'), lambda x: length(x) >= 2)) AS w FROM benchmark),
-b AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(trim(regexp_replace(title, '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]+'), lambda x: length(x) >= 2)) AS w FROM articles)
+b AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(trim(regexp_replace(content, '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]+'), lambda x: length(x) >= 2)) AS w FROM articles)
 SELECT (SELECT count(*) FROM a) AS left_keys, (SELECT count(*) FROM b) AS right_keys, (SELECT count(*) FROM a JOIN b USING (w)) AS both"""
 
 

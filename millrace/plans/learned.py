@@ -33,11 +33,11 @@ def vector_probe(spark, sf_dir):
 
 def term_ratios(spark, sf_dir):
     """242: log-count ratios of words in toxic and other documents."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.split(F.lower(F.substring("text", 1, 300)), "[^a-z]+").alias("w"), "toxic")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.split(F.lower("text"), "[^a-z]+").alias("w"), "toxic")
     return models.log_count_ratio(docs, "w", "toxic").select("term", scaled("ratio").alias("ratio"))
 
 
-TERM_RATIOS = """WITH d AS (SELECT doc_id, toxic, list_distinct(regexp_split_to_array(lower(substring(text, 1, 300)), '[^a-z]+')) AS w FROM documents JOIN labels USING (doc_id)),
+TERM_RATIOS = """WITH d AS (SELECT doc_id, toxic, list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT term, sum(toxic) + 1.0 AS p, sum(1 - toxic) + 1.0 AS q FROM (SELECT toxic, unnest(w) AS term FROM d) GROUP BY 1)
 SELECT term, round(ln((p / sum(p) OVER ()) / (q / sum(q) OVER ())) * 1e6)::BIGINT AS ratio FROM c"""
 
