@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes that are hashed at a time, and of the longest run that is hashed by a prefix sum.
+WINDOW, SHORT = 1 << 18, 64
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -60,13 +64,49 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each run, from one prefix sum of byte * BASE**position."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=total[1:])
-    back = powers(BASE_INVERSE, len(data) + 1)
-    return mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * STEP)
+    """A 64-bit hash of data[start:end] for each run, starts ascending.
+
+    Runs of SHORT bytes at most share one prefix sum of byte * BASE**position a window
+    of the data, so memory doesn't grow with a text's length; longer runs, for which
+    such sums modulo 2**64 can be made to collide, have a cryptographic hash.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    sizes = ends - starts
+    short = np.flatnonzero(sizes <= SHORT)
+    size = min(WINDOW, len(data)) + SHORT
+    shifts, back = powers(BASE, size), powers(BASE_INVERSE, size + 1)
+    begin = starts[short]
+    edges = np.searchsorted(begin, np.arange(0, len(data) + WINDOW, WINDOW))
+    for w, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if a == b:
+            continue
+        own = short[a:b]
+        part = data[w * WINDOW : (w + 1) * WINDOW + SHORT]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * shifts[: len(part)], out=total[1:])
+        at = starts[own] - w * WINDOW
+        out[own] = mixed((total[at + sizes[own]] - total[at]) * back[at] + sizes[own].astype(np.uint64) * STEP)
+    held = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(held[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def sequence_digests(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> list[bytes]:
+    """SHA-256 of each row's runs, joined by single spaces."""
+    outside = separators[data]
+    starts_row = np.zeros(len(data) + 1, bool)
+    starts_row[offsets] = True
+    # a separator stays where a run ends before it in its row; one that ends the row goes below
+    after = np.zeros(len(data), bool)
+    after[1:] = ~outside[:-1] & ~starts_row[1 : len(data)]
+    kept = ~outside | after
+    joined = np.where(outside, np.uint8(32), data)[kept]
+    held = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[offsets]
+    view, out = memoryview(np.ascontiguousarray(joined)), []
+    for a, b in zip(held[:-1].tolist(), held[1:].tolist()):
+        out.append(hashlib.sha256(view[a : b - 1 if b > a and view[b - 1] == 32 else b]).digest())
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,16 +1,25 @@
 """Near duplicates: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
-1. Sketch. Every text becomes its set of hashed five-word shingles; a fingerprint of
-   the whole set joins texts of equal sets to a class at once, so copies cost nothing
-   further. A class's signature holds HASHES minima of 16 bits, in BANDS bands.
-2. Classes that share a band are candidates, tested in two passes:
+1. Sketch. Every text becomes its set of hashed five-word shingles. Texts whose words
+   are the same sequence (SHA-256 over it) have the same set and are one class at once,
+   so copies cost nothing further; texts with equal sets in another order are linked by
+   verification like all others. A class's signature holds HASHES minima of 16 bits, in
+   BANDS bands.
+2. Classes that share a band are candidates, tested in passes:
    a. Stars: every class is paired with one member of its buckets, the smallest of
       most of them. The links found give components.
    b. The rest: all candidates whose ends are in different components still. (A pair
-      within a component can't change it.) A bucket's members are dealt into blocks,
-      those of its largest component apart from the others: their blocks meet only the
-      others', which meet one another too. A pair that shares several bands is looked
-      at in the first one.
+      within a component can't change it.) A bucket of BLOCK members at most is one
+      block. A pair that shares several bands is looked at in the first one.
+   c. Members of larger buckets meet through prefixes instead: two sets that are near
+      duplicates share a shingle among the (100 - THRESHOLD) % of either that come first
+      in any fixed order, so with the order from rare to frequent a passage that many
+      documents have in common brings none of them together. The rows are a part of the
+      documents' shingles, whatever the size of their buckets.
+   d. A shingle that still more than BLOCK members have in their prefixes, in different
+      components, has members that such filters can't tell apart: they are dealt into
+      blocks of DEALT that meet in pairs, but for those of the largest component with one
+      another. Only there a row is made once for every DEALT members that it must meet.
 3. Pruning. The signatures of a pair are compared BATCH minima at a time; after each
    batch the posterior of its similarity (uniform prior) tells whether it may still
    reach the threshold, and pairs with a chance below MISS are dropped.
@@ -31,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import BLANKS, column_bytes, gram_hashes, lower_ascii, mixed, run_hashes, spans
-from millrace.llm.session import attach, cut, documents, small_batches, small_enough, table
+from millrace.llm.arrays import BLANKS, column_bytes, gram_hashes, lower_ascii, mixed, run_hashes, sequence_digests, spans
+from millrace.llm.session import attach, cut, documents, partitions, small_batches, small_enough, table
 from millrace.operators.components import components
 
 #: Words of a shingle, and the similarity (in hundredths) of near duplicates.
@@ -42,8 +51,12 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Minima compared at a time, and the chance of a link below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
-#: Members that meet one copy of a star's centre, and members of a block of a bucket.
-STAR, BLOCK = 64, 128
+#: Members that meet one copy of a star's centre, of a bucket that is one block, and of a block of a larger one.
+STAR, BLOCK, DEALT = 64, 128, 512
+#: Shingles whose frequency orders the prefixes; all others count as rare. It bounds what is broadcast and has no influence on results.
+FREQUENT = 1 << 16
+#: Distinct shingles that a task counts before it forgets those seen once.
+COUNTED = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -114,14 +127,49 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(data, offsets)
         signatures = np.stack([signature(s, a, b) for s in sets]) if sets else np.zeros((0, HASHES), np.uint16)
         keys = band_keys(signatures).view(np.int64)
-        sums = np.array([[int(mixed(s).sum() if len(s) else 0), int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum() if len(s) else 0)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
+            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sequence_digests(lower_ascii(data), offsets, BLANKS), pa.binary()),
              pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))), pa.array([s.tobytes() for s in signatures], pa.binary())],
-            ["doc_id", "x", "n_shingles", "s1", "s2", "bands", "signature"],
+            ["doc_id", "x", "n_shingles", "digest", "bands", "signature"],
         )
 
 
+def _merged(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, ascending, with the sums of their counts."""
+    order = np.argsort(shingles, kind="stable")
+    shingles, counts = shingles[order], counts[order]
+    first = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]]) if len(shingles) else np.zeros(0, np.int64)
+    return shingles[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> shingle, n: the shingles that several sets of the task hold, with a lower bound of their number."""
+    shingles, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        found = [shingles, *shingle_sets(*column_bytes(batch.column(0)))]
+        counts = np.concatenate([counts, np.ones(sum(map(len, found[1:])), np.int64)])
+        shingles, counts = _merged(np.concatenate(found), counts)
+        if len(shingles) > COUNTED:
+            shingles, counts = shingles[counts > 1], counts[counts > 1]
+    again = counts > 1
+    yield pa.RecordBatch.from_arrays([pa.array(shingles[again].view(np.int64)), pa.array(counts[again])], ["shingle", "n"])
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """The first shingles of a sorted set, from rare to frequent, of which two near duplicates share one. frequent ascends."""
+    n = len(shingles)
+    at = np.searchsorted(frequent, shingles)
+    at[at == len(frequent)] = 0
+    weight = np.where(frequent[at] == shingles, counts[at], 0) if len(frequent) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, weight))][: n - (threshold * n + 99) // 100 + 1]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [prefix(s, frequent, counts).view(np.int64) for s in shingle_sets(*column_bytes(batch.column(3)))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "x", "component", "prefix"])
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
     """The rows of each value of a column, which is sorted; a group may span batches."""
     held: list[pa.RecordBatch] = []
@@ -142,11 +190,25 @@ def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pruned(batches: Iterator[pa.RecordBatch], bounds: list[int], stars: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (block, band, side, doc_id, x, component, signature) sorted by block -> block, doc_id, x, component, partners.
+def _first_met(kind: str, mark: int, signatures: np.ndarray, prefixes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have in this bucket the first that they share: of bands, the lowest; of prefixes, the smallest shingle."""
+    out = np.ones(len(a), bool)
+    if kind == "bands" and mark:
+        for i in range(0, len(a), 65_536):
+            same = signatures[a[i : i + 65_536], : mark * ROWS] == signatures[b[i : i + 65_536], : mark * ROWS]
+            out[i : i + 65_536] = ~same.reshape(len(same), mark, ROWS).all(2).any(1)
+    elif kind == "prefixes":
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            out[i] = np.intersect1d(prefixes[x], prefixes[y], assume_unique=True)[:1] == [mark]
+    return out
+
+
+def _pruned(batches: Iterator[pa.RecordBatch], bounds: list[int], kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows (block, mark, side, doc_id, x, component, signature, prefix) sorted by block -> block, doc_id, x, component, partners.
 
-    In a star's block those of side 0 are its centre and meet the others. In a pair of
-    blocks side 0 meets side 1; a block that meets itself has side 0 alone.
+    kind: in a star's block those of side 0 are its centre and meet the others. In a
+    pair of blocks ("bands", "prefixes") side 0 meets side 1; a block that meets itself
+    has side 0 alone. mark is the number of the band, or the shingle, that they share.
     """
     for group in runs(batches):
         side = group.column("side").to_numpy()
@@ -155,22 +217,18 @@ def _pruned(batches: Iterator[pa.RecordBatch], bounds: list[int], stars: bool) -
         signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(doc), -1)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
-        own = not stars and not len(right)
+        own = kind != "stars" and not len(right)
         if own:
             right = left
-        live = (doc[left][:, None] != doc[right][None, :]) if stars else component[left][:, None] != component[right][None, :]
+        live = (doc[left][:, None] != doc[right][None, :]) if kind == "stars" else component[left][:, None] != component[right][None, :]
         if own:
             live &= np.triu(np.ones(live.shape, bool), 1)
         live = prune(signatures[left], signatures[right], live, bounds)
-        if not stars:  # a pair that shares an earlier band was looked at there
-            a, b = np.nonzero(live)
-            band = int(group.column("band")[0].as_py())
-            if band and len(a):
-                earlier = np.zeros(len(a), bool)
-                for i in range(0, len(a), 65_536):
-                    same = signatures[left[a[i : i + 65_536]], : band * ROWS] == signatures[right[b[i : i + 65_536]], : band * ROWS]
-                    earlier[i : i + 65_536] = same.reshape(len(same), band, ROWS).all(2).any(1)
-                live[a[earlier], b[earlier]] = False
+        a, b = np.nonzero(live)
+        if kind != "stars" and len(a):
+            prefixes = [np.frombuffer(x, np.int64) for x in group.column("prefix").to_pylist()] if kind == "prefixes" else []
+            first = _first_met(kind, int(group.column("mark")[0].as_py()), signatures, prefixes, left[a], right[b])
+            live[a[~first], b[~first]] = False
         partners = [doc[right[row]].tolist() for row in live]
         wanted = live.any(0)
         rows = [(int(left[i]), p) for i, p in enumerate(partners) if p]
@@ -217,32 +275,65 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def _links(blocks: DataFrame, signatures: DataFrame, texts: DataFrame, bounds: list[int], stars: bool) -> DataFrame:
-    """Verified links of blocks (block, band, side, doc_id, component)."""
-    columns = ["block", "band", "side", "doc_id", "x", "component", "signature"]
-    placed = blocks.join(signatures, "doc_id").select(*columns).repartition("block").sortWithinPartitions("block", "side", "doc_id")
-    survivors = cut(placed.mapInArrow(partial(_pruned, bounds=bounds, stars=stars), "block long, doc_id long, x long, component long, partners array<long>"))
+def _links(blocks: DataFrame, signatures: DataFrame, texts: DataFrame, bounds: list[int], kind: str) -> DataFrame:
+    """Verified links of blocks (block, mark, side, doc_id, component); signatures has prefixes if they are of that kind.
+
+    The work on a row isn't in proportion to its bytes, so the number of tasks is given.
+    """
+    tasks = partitions(blocks.sparkSession)
+    columns = ["block", "mark", "side", "doc_id", "x", "component", "signature", *(["prefix"] if kind == "prefixes" else [])]
+    placed = blocks.join(signatures, "doc_id").select(*columns).repartition(tasks, "block").sortWithinPartitions("block", "side", "doc_id")
+    survivors = cut(placed.mapInArrow(partial(_pruned, bounds=bounds, kind=kind), "block long, doc_id long, x long, component long, partners array<long>"))
     ids = survivors.select("doc_id", "x").distinct()
-    ids = F.broadcast(ids) if small_enough(survivors) else ids
+    ids = F.broadcast(ids) if small_enough(survivors.select("doc_id", "x")) else ids
     own = texts.join(ids, ["doc_id", "x"], "left_semi")
-    rows = survivors.join(own, ["doc_id", "x"]).select("block", "doc_id", "component", "partners", "text").repartition("block").sortWithinPartitions("block", "doc_id")
+    rows = survivors.join(own, ["doc_id", "x"]).select("block", "doc_id", "component", "partners", "text").repartition(tasks, "block").sortWithinPartitions("block", "doc_id")
     return cut(rows.mapInArrow(_verified, "a long, b long"))
 
 
-def _dealt(rows: DataFrame, total: int) -> DataFrame:
-    """rows (key, band, doc_id, component) of buckets with several components, dealt into blocks (block, band, side, doc_id, component)."""
+def _several_components(rows: DataFrame, total: int) -> DataFrame:
+    """rows (key, mark, doc_id, component) of the keys with several components, with the members of their key."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high").select("key", "members")
+    return cut(attach(rows, cut(keys), ["key"], "members", total, "inner"))
+
+
+def _whole(placed: DataFrame) -> DataFrame:
+    """Keys of BLOCK members at most as a block each (block, mark, side, doc_id, component)."""
+    return placed.filter(F.col("members") <= BLOCK).select(F.xxhash64("key", F.lit(2)).alias("block"), "mark", F.lit(0).alias("side"), "doc_id", "component")
+
+
+def _dealt(placed: DataFrame, total: int) -> DataFrame:
+    """The other keys, dealt into blocks that meet in pairs, but for those of one component."""
+    rows = placed.filter(F.col("members") > BLOCK)
     counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = F.max(F.struct("n", "component"))
-    mixed_buckets = counts.groupBy("key").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"), largest.alias("l")).filter("parts > 1")
-    mixed_buckets = cut(mixed_buckets.select("key", "members", F.col("l.component").alias("major"), F.ceil(F.col("l.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("members") - F.col("l.n")) / BLOCK).cast("int").alias("minors")))
-    placed = attach(rows, mixed_buckets, ["key"], "members", total, "inner").withColumn("is_major", F.col("component") == F.col("major"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    sizes = counts.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("l"))
+    sizes = cut(sizes.select("key", "members", F.col("l.component").alias("major"), F.ceil(F.col("l.n") / DEALT).cast("int").alias("majors"), F.ceil((F.col("members") - F.col("l.n")) / DEALT).cast("int").alias("minors")))
+    rows = attach(rows.drop("members"), sizes, ["key"], "members", total, "inner").withColumn("is_major", F.col("component") == F.col("major"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_major = F.transform(upto("minors"), lambda j: F.struct(F.xxhash64("key", F.lit(1), "own", j).alias("block"), F.lit(0).alias("side")))
     with_majors = F.transform(upto("majors"), lambda i: F.struct(F.xxhash64("key", F.lit(1), i, "own").alias("block"), F.lit(1).alias("side")))
     with_minors = F.transform(upto("minors"), lambda j: F.struct(F.xxhash64("key", F.lit(0), F.least("own", j), F.greatest("own", j)).alias("block"), (F.col("own") > j).cast("int").alias("side")))
     blocks = F.when(F.col("is_major"), as_major).otherwise(F.concat(with_majors, with_minors))
-    return placed.withColumn("b", F.explode(blocks)).select("b.block", "band", "b.side", "doc_id", "component")
+    return rows.withColumn("b", F.explode(blocks)).select("b.block", "mark", "b.side", "doc_id", "component")
+
+
+def _postings(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (doc_id, x, component) with their prefixes, as lists."""
+    members = cut(members)
+    members = F.broadcast(members) if small_enough(members) else members  # so that texts stay where they are
+    own = cut(texts.join(members, ["doc_id", "x"]).select("doc_id", "x", "component", "text"))
+    counted = own.select("text").mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # bounded
+    shingles, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    ascending = np.argsort(shingles.view(np.uint64))
+    order = partial(_prefixes, frequent=shingles.view(np.uint64)[ascending], counts=counts[ascending])
+    return cut(own.mapInArrow(order, "doc_id long, x long, component long, prefix array<long>"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.sort(np.array(p, np.int64)).tobytes() for p in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "x", "prefix"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,23 +349,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = documents(docs).withColumn("x", F.xxhash64("text"))
-    sketch = cut(own.select("doc_id", "x", "text").mapInArrow(_sketch, "doc_id long, x long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"))
-    key = ["n_shingles", "s1", "s2"]
-    slim = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "x", *key)
+    sketch = cut(own.select("doc_id", "x", "text").mapInArrow(_sketch, "doc_id long, x long, n_shingles long, digest binary, bands array<long>, signature binary"))
+    slim = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "x", "n_shingles", "digest")
     total = slim.count()
-    classes = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "x")).alias("first")).select(*key, "members", F.col("first.doc_id").alias("node"), F.col("first.x").alias("node_x"))
+    classes = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "x")).alias("first")).select("digest", "members", F.col("first.doc_id").alias("node"), F.col("first.x").alias("node_x"))
     classes = cut(classes.filter("members > 1"))
-    copies = cut(attach(slim, classes, key, "members", total, "inner").filter("doc_id <> node OR x <> node_x").select("doc_id", "x", "node"))
+    copies = cut(attach(slim.drop("n_shingles"), classes, ["digest"], "members", total, "inner").filter("doc_id <> node OR x <> node_x").select("doc_id", "x", "node"))
     gone = copies.select("doc_id", "x")
-    reps = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(F.broadcast(gone) if small_enough(copies) else gone, ["doc_id", "x"], "left_anti")
+    reps = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(F.broadcast(gone) if small_enough(gone) else gone, ["doc_id", "x"], "left_anti")
+    texts = own.select("doc_id", "x", "text").filter("doc_id IS NOT NULL")
+    ids = cut(slim.groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", (F.col("low") != F.col("high")).alias("several")))
+    if ids.head(1):  # rows repeated with id and text are one document
+        reps = cut(reps.dropDuplicates(["doc_id", "x"]))
+        texts = texts.dropDuplicates(["doc_id", "x"])
     # an id with several texts ties the classes of all of them
-    several = slim.groupBy("doc_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high").select("doc_id")
-    tied = cut(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    tied = cut(copies.join(ids.filter("several"), "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     bounds = [least_matches(n) for n in range(BATCH, HASHES + 1, BATCH)]
     signatures = reps.select("doc_id", "x", "signature")
-    texts = own.select("doc_id", "x", "text")
 
-    bands = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    bands = reps.select("doc_id", F.posexplode("bands").alias("mark", "key"))
     buckets = cut(bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("members")).filter("most > least"))
     rows = cut(attach(bands, buckets.drop("most"), ["key"], "members", total, "inner"))
     star = rows.filter("doc_id <> least").groupBy("doc_id", "least").agg(F.count(F.lit(1)).alias("shared")).groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("least")).alias("c"))).alias("best")).select("doc_id", (-F.col("best.c")).alias("centre"))
@@ -282,21 +375,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = cut(star.groupBy("centre").agg(F.count(F.lit(1)).alias("n")))
     spread = attach(star, sizes, ["centre"], "n", total, "inner").select("doc_id", "centre", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / STAR)).cast("int").alias("part"))
     block = F.xxhash64("centre", "part")
-    members = cut(spread.select(block.alias("block"), F.lit(0).alias("band"), F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("component"), "centre", "part"))
-    centres = members.select("block", "band", F.lit(0).alias("side"), F.col("centre").alias("doc_id"), F.col("centre").alias("component")).distinct()
-    first = _links(members.drop("centre", "part").unionByName(centres), signatures, texts, bounds, True)
-
-    reached = cut(components(first))
-    rows = rows.select("key", "band", "doc_id").join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = cut(rows)
-    second = _links(_dealt(rows, total), signatures, texts, bounds, False)
-
-    reached = cut(components(first.unionByName(second).unionByName(tied)))
-    found = slim.select("doc_id", "x", *key)
+    members = cut(spread.select(block.alias("block"), F.lit(0).alias("mark"), F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("component"), "centre", "part"))
+    centres = members.select("block", "mark", F.lit(0).alias("side"), F.col("centre").alias("doc_id"), F.col("centre").alias("component")).distinct()
+    links = _links(members.drop("centre", "part").unionByName(centres), signatures, texts, bounds, "stars")
+
+    reached = cut(components(links))
+    rows = rows.select("key", "mark", "doc_id").join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = _several_components(cut(rows), total)
+    links = links.unionByName(_links(_whole(rows), signatures, texts, bounds, "bands"))
+    crowded = cut(rows.filter(F.col("members") > BLOCK).select("doc_id", "component").distinct())
+    if crowded.head(1):
+        crowded = F.broadcast(crowded) if small_enough(crowded) else crowded
+        own_prefix = _postings(reps.select("doc_id", "x").join(crowded, "doc_id"), texts)
+        shared = own_prefix.select("doc_id", "component", F.explode("prefix").alias("key")).withColumn("mark", F.col("key"))
+        shared = _several_components(shared, total)
+        packed = cut(own_prefix.select("doc_id", "x", "prefix").mapInArrow(_packed, "doc_id long, x long, prefix binary"))
+        packed = F.broadcast(packed) if small_enough(packed) else packed
+        links = links.unionByName(_links(_whole(shared).unionByName(_dealt(shared, total)), signatures.join(packed, ["doc_id", "x"]), texts, bounds, "prefixes"))
+
+    reached = cut(components(links.unionByName(tied)))
     # a class is where its node is; nodes and components are joined once a class
-    where = classes.join(reached, "node", "left").select(*key, "members", F.coalesce("component", "node").alias("component"))
+    where = classes.join(reached, "node", "left").select("digest", "members", F.coalesce("component", "node").alias("component"))
     where = cut(where)
-    placed = attach(found, where, key, "members", total)
+    placed = attach(slim, where, ["digest"], "members", total)
     alone = placed.filter("members IS NULL").select("doc_id", "n_shingles").join(reached.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     out = placed.filter("members IS NOT NULL").select("doc_id", "n_shingles", "component").unionByName(alone)
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -68,10 +68,74 @@ def test_components_equal_all_pairs(spark, seed):
 def test_blocks_and_stars_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(n, "STAR", 4)
     monkeypatch.setattr(n, "BLOCK", 8)
+    monkeypatch.setattr(n, "DEALT", 8)
     rows = corpus(7, 5, 60)
     assert found(n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows)
 
 
+def crowd(spark, n):
+    """n texts around one passage, of which most are too far from one another, and n near copies of one text that hold it too."""
+    r = random.Random(n)
+    passage, base = [f"p{i}" for i in range(60)], [f"b{i}" for i in range(40)]
+    far = [" ".join(passage + [f"f{k}_{i}" for i in range(25)]) for k in range(n)]
+    near = [" ".join(passage + edited(r, base, 0.04)) for _ in range(n)]
+    rows = list(enumerate(far + near))
+    r.shuffle(rows)
+    return rows
+
+
+def test_a_common_passage_gives_rows_in_proportion_to_its_members(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 8)
+    made = {}
+    for size in (60, 240):
+        dealt, whole = [], n._whole
+
+        def counted(f):
+            def run(*a):
+                out = f(*a)
+                dealt.append(out.count())
+                return out
+
+            return run
+
+        with monkeypatch.context() as m:
+            m.setattr(n, "_whole", counted(whole))
+            m.setattr(n, "_dealt", counted(n._dealt))
+            rows = crowd(spark, size)
+            out = found(n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+        if size == 60:
+            assert out == expected(rows)
+        made[size] = sum(dealt)
+        assert len(dealt) == 3  # buckets, postings and those dealt: larger buckets were there
+    assert 0 < made[240] <= 6 * made[60]
+
+
+def test_prefixes_of_near_duplicates_share_a_shingle():
+    r = np.random.default_rng(3)
+    universe = r.integers(0, 1 << 63, 300).astype(np.uint64)
+    frequent = np.sort(universe[:200])
+    counts = r.integers(1, 9, 200)
+    met = 0
+    for _ in range(300):
+        x = np.unique(r.choice(universe, r.integers(1, 60)))
+        y = np.unique(np.r_[r.permutation(x)[: max(1, int(len(x) * r.uniform(0.7, 1)))], r.choice(universe, r.integers(0, 6))])
+        if n.linked(x, y):
+            met += 1
+            assert len(np.intersect1d(n.prefix(x, frequent, counts), n.prefix(y, frequent, counts)))
+    assert met > 30
+
+
+def test_texts_with_equal_sets_in_another_order(spark):
+    rows = [(1, "a b c d e a b c d e a"), (2, "b c d e a b c d e a b"), (3, "a b c d e  A b c d e a")]
+    assert found(n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows)
+
+
+def test_very_long_texts_and_words(spark):
+    words = [f"w{i % 90_001}" for i in range(4_000_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-40])), (3, "x" * 3_000_000 + " a b c d e f g"), (4, "a " * 9 + "y" * 2_000_000)]
+    assert {(i, c) for i, _, c, _ in found(n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+
+
 def test_hard_rows(spark, hard_rows, no_rows):
     assert found(n.near_duplicates(hard_rows)) == expected([(r["doc_id"], r["text"]) for r in hard_rows.collect()])
     kept = n.kept_documents(hard_rows)
