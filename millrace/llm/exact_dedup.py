@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import column_bytes
+from millrace.llm.arrays import column_bytes, tidy
 from millrace.llm.session import attach, cut, small_batches, small_enough, table
 
 MODULI = (2147483647, 2147483629)
@@ -109,7 +109,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("x"))
-    prints = own.select("doc_id", "text", "x").mapInArrow(_fingerprint, "doc_id long, x long, n_bytes long, h1 long, h2 long, text_sha256 string")
+    prints = own.select("doc_id", "text", "x").mapInArrow(tidy(_fingerprint), "doc_id long, x long, n_bytes long, h1 long, h2 long, text_sha256 string")
     prints = cut(prints.dropDuplicates(["doc_id", "n_bytes", "h1", "h2", "x"]).withColumn("clash", F.lit("")))
     groups = cut(_groups(prints))
     # texts go through the shuffle only where another has the same fingerprint
@@ -120,7 +120,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("x") == F.col("m_x")))
     placed = texts.select("h1", "h2", "n_bytes", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))).alias("block"), (~F.col("first")).cast("int").alias("member"), "doc_id", "x", "text")
     sorted_ = placed.repartition("h1", "h2", "n_bytes", "block").sortWithinPartitions("h1", "h2", "n_bytes", "block", "member")
-    differing = cut(sorted_.mapInArrow(_compare, "doc_id long, x long").distinct())
+    differing = cut(sorted_.mapInArrow(tidy(_compare), "doc_id long, x long").distinct())
     if differing.head(1):  # collisions of both residues: those texts are grouped by their SHA-256
         apart = differing.select(F.col("doc_id").alias("m_id"), F.col("x").alias("m_x"), F.lit(True).alias("apart"))
         prints = cut(prints.join(apart, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("x") == F.col("m_x")), "left").withColumn("clash", F.when(F.col("apart"), F.col("text_sha256")).otherwise("")).drop("m_id", "m_x", "apart"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import BLANKS, column_bytes, gram_hashes, lower_ascii, mixed, run_hashes, sequence_digests, spans
+from millrace.llm.arrays import BLANKS, column_bytes, gram_hashes, lower_ascii, mixed, run_hashes, sequence_digests, spans, tidy
 from millrace.llm.session import attach, cut, documents, partitions, small_batches, small_enough, table
 from millrace.operators.components import components
 
@@ -283,12 +283,12 @@ def _links(blocks: DataFrame, signatures: DataFrame, texts: DataFrame, bounds: l
     tasks = partitions(blocks.sparkSession)
     columns = ["block", "mark", "side", "doc_id", "x", "component", "signature", *(["prefix"] if kind == "prefixes" else [])]
     placed = blocks.join(signatures, "doc_id").select(*columns).repartition(tasks, "block").sortWithinPartitions("block", "side", "doc_id")
-    survivors = cut(placed.mapInArrow(partial(_pruned, bounds=bounds, kind=kind), "block long, doc_id long, x long, component long, partners array<long>"))
+    survivors = cut(placed.mapInArrow(tidy(partial(_pruned, bounds=bounds, kind=kind)), "block long, doc_id long, x long, component long, partners array<long>"))
     ids = survivors.select("doc_id", "x").distinct()
     ids = F.broadcast(ids) if small_enough(survivors.select("doc_id", "x")) else ids
     own = texts.join(ids, ["doc_id", "x"], "left_semi")
     rows = survivors.join(own, ["doc_id", "x"]).select("block", "doc_id", "component", "partners", "text").repartition(tasks, "block").sortWithinPartitions("block", "doc_id")
-    return cut(rows.mapInArrow(_verified, "a long, b long"))
+    return cut(rows.mapInArrow(tidy(_verified), "a long, b long"))
 
 
 def _several_components(rows: DataFrame, total: int) -> DataFrame:
@@ -323,12 +323,12 @@ def _postings(members: DataFrame, texts: DataFrame) -> DataFrame:
     members = cut(members)
     members = F.broadcast(members) if small_enough(members) else members  # so that texts stay where they are
     own = cut(texts.join(members, ["doc_id", "x"]).select("doc_id", "x", "component", "text"))
-    counted = own.select("text").mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = own.select("text").mapInArrow(tidy(_frequent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     found = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()  # bounded
     shingles, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
     ascending = np.argsort(shingles.view(np.uint64))
     order = partial(_prefixes, frequent=shingles.view(np.uint64)[ascending], counts=counts[ascending])
-    return cut(own.mapInArrow(order, "doc_id long, x long, component long, prefix array<long>"))
+    return cut(own.mapInArrow(tidy(order), "doc_id long, x long, component long, prefix array<long>"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = documents(docs).withColumn("x", F.xxhash64("text"))
-    sketch = cut(own.select("doc_id", "x", "text").mapInArrow(_sketch, "doc_id long, x long, n_shingles long, digest binary, bands array<long>, signature binary"))
+    sketch = cut(own.select("doc_id", "x", "text").mapInArrow(tidy(_sketch), "doc_id long, x long, n_shingles long, digest binary, bands array<long>, signature binary"))
     slim = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "x", "n_shingles", "digest")
     total = slim.count()
     classes = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "x")).alias("first")).select("digest", "members", F.col("first.doc_id").alias("node"), F.col("first.x").alias("node_x"))
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         own_prefix = _postings(reps.select("doc_id", "x").join(crowded, "doc_id"), texts)
         shared = own_prefix.select("doc_id", "component", F.explode("prefix").alias("key")).withColumn("mark", F.col("key"))
         shared = _several_components(shared, total)
-        packed = cut(own_prefix.select("doc_id", "x", "prefix").mapInArrow(_packed, "doc_id long, x long, prefix binary"))
+        packed = cut(own_prefix.select("doc_id", "x", "prefix").mapInArrow(tidy(_packed), "doc_id long, x long, prefix binary"))
         packed = F.broadcast(packed) if small_enough(packed) else packed
         links = links.unionByName(_links(_whole(shared).unionByName(_dealt(shared, total)), signatures.join(packed, ["doc_id", "x"]), texts, bounds, "prefixes"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import BLANKS, column_bytes, gram_hashes, lower_ascii, mixed, run_hashes, spans
+from millrace.llm.arrays import BLANKS, column_bytes, gram_hashes, lower_ascii, mixed, run_hashes, spans, tidy
 from millrace.llm.session import cut, documents, fold, small_batches, table
 from millrace.llm.toxicity import fit_logistic, labelled_sample
 
@@ -146,7 +146,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fit(sample: DataFrame) -> NaiveBayesSVM:
     """Fit on sample (doc_id, text, y), which must be bounded: its feature numbers go to the driver."""
-    rows = sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text", "y").mapInArrow(_sample_features, "features array<int>, y int").toArrow()
+    rows = sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text", "y").mapInArrow(tidy(_sample_features), "features array<int>, y int").toArrow()
     lists = rows.column("features").combine_chunks()
     values, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     return fit_rows([values[a:b] for a, b in zip(edges[:-1], edges[1:])], rows.column("y").to_numpy())
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: NaiveBayesSVM) -> DataFrame:
             p = own.probabilities(own.margins(*features(data, offsets), len(offsets) - 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: NaiveBayesSVM, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -184,7 +184,7 @@ def accepted(docs: DataFrame, model: NaiveBayesSVM, least: float = 0.5, text_col
             p = own.probabilities(own.margins(*features(data, offsets), len(offsets) - 1))
             yield batch.filter(pa.array(p >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 #: Labelled documents of either class that the production model is fitted on.

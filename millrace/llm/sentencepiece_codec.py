@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrays import mixed
+from millrace.llm.arrays import mixed, tidy
 from millrace.llm.session import documents, small_batches, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -460,7 +460,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
             np.cumsum([len(b) // 4 for b in found], out=edges[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(found), np.int32))), pa.array(np.diff(edges).astype(np.int64)), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_ids", "exact"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, n_ids long, exact boolean")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>, n_ids long, exact boolean")
 
 
 def decode_rows(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -472,7 +472,7 @@ def decode_rows(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(ids or [], surfaces) for ids in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op6_sentencepiece(spark, sf_dir):

@@ -11,7 +11,7 @@ __all__ = ["attach", "cut", "documents", "fold", "partitions", "remove", "shared
 
 #: Rows and bytes in one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
