@@ -145,6 +145,22 @@ def _prefix_keys(words: Column, least: float) -> Column:
     return F.flatten(F.transform(sizes, lambda s: F.transform(F.slice(words, 1, m - wanted(s) + 1), lambda w: F.struct(w.alias("word"), F.least(m, s).alias("low"), F.greatest(m, s).alias("high")))))
 
 
+def like_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs l_*, r_* (l_id below r_id) of rows of one kind whose words have a Jaccard similarity of `least` at least.
+
+    rows (id, kind, words, ...); ids are unique, null kinds meet nothing, rows without
+    words are like no other. Rows meet by their rarest words only, those of a word that
+    many share in blocks; no pair that is like enough is lost.
+    """
+    base = cut(rows)
+    columns = base.columns
+    keyed = _rarest_first(base).withColumn("k", F.explode(_prefix_keys(F.col("words"), least))).select(*columns, "k.*")
+    part = F.when(F.col("low") == F.col("high"), 2).when(F.size("words") == F.col("low"), 0).otherwise(1)
+    carried = [c for c in columns if c != "kind"]
+    found = _met(cut(keyed.withColumn("part", part)), ["kind", "word", "low", "high"], carried)
+    return found.filter(jaccard(F.col("l_words"), F.col("r_words")) >= least).dropDuplicates(["l_id", "r_id"])
+
+
 def mergeable_pairs(rows: DataFrame, threshold: float, window_days: int = 7) -> DataFrame:
     """Of all pairs of rows those that can reach the threshold by their entity, type, time and words, with their score.
 

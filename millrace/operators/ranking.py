@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.ordering import running
+from millrace.operators.ordering import ordered, running
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -248,21 +248,27 @@ def agent_cases(df: DataFrame, most: int, confidence: float, margin: float) -> D
     return df.filter(F.col("method") != "candidate_only").withColumn("points", points).filter("points > 0").orderBy(F.desc("points"), F.asc("confidence"), F.desc("idx")).limit(most)
 
 
+def lowest_percent(df: DataFrame, margin: str, key: str, percent: int) -> DataFrame:
+    """The percent of rows with the lowest margins, ties by key, rounded down."""
+    placed = ordered(df, F.asc(margin), F.asc(key))
+    return placed.filter(F.col("place") <= placed.count() * percent // 100).drop("place")
+
+
 def review_items(df: DataFrame, scope: str, reason: str = "low_margin_top20pct") -> DataFrame:
-    """df (article_id, baseline, margin, candidates, status) of chosen rows -> review queue, most urgent first."""
-    place = F.row_number().over(W.orderBy("margin", "article_id"))  # a review queue is as long as people can read
-    n = F.count(F.lit(1)).over(W.partitionBy())
+    """df (article_id, baseline, margin, candidates, status) of chosen rows -> review queue with priorities from 1 (lowest margin) down."""
+    placed = ordered(df, F.asc("margin"), F.asc("article_id"))
+    n = max(1, placed.count())
     seed = F.concat_ws("|", F.lit(scope), "article_id", "baseline", F.array_join("candidates", ","), "status")
-    return df.select(F.concat(F.lit("RV-"), F.substring(F.sha2(F.concat_ws("|", seed, F.lit(reason)), 256), 1, 16)).alias("review_id"), "article_id", F.lit(scope).alias("scope"), F.col("baseline").alias("baseline_event"), F.col("candidates").alias("candidate_events"), F.col("margin").alias("svc_margin"), F.col("status").alias("route_status"), (1 - (place - 1) / n).alias("priority"), F.lit(reason).alias("reason"), F.sha2(seed, 256).alias("provenance_hash"))
+    return placed.select(F.concat(F.lit("RV-"), F.substring(F.sha2(F.concat_ws("|", seed, F.lit(reason)), 256), 1, 16)).alias("review_id"), "article_id", F.lit(scope).alias("scope"), F.col("baseline").alias("baseline_event"), F.col("candidates").alias("candidate_events"), F.col("margin").alias("svc_margin"), F.col("status").alias("route_status"), (1 - (F.col("place") - 1) / n).alias("priority"), F.lit(reason).alias("reason"), F.sha2(seed, 256).alias("provenance_hash"))
 
 
 def batches(df: DataFrame, order: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """Rows in order dealt into batches of the given sizes, whose sum must be the number of rows."""
-    if df.count() != sum(sizes):
+    placed = ordered(df, *map(F.asc, order))
+    if placed.count() != sum(sizes):
         raise ValueError("the sizes of the batches don't add up to the rows")
     ends = np.cumsum(sizes).tolist()
-    place = F.row_number().over(W.orderBy(*order))
     number = F.lit(len(ends))
     for i in range(len(ends) - 1, 0, -1):
-        number = F.when(place <= ends[i - 1], i).otherwise(number)
-    return df.withColumn("batch", number)
+        number = F.when(F.col("place") <= ends[i - 1], i).otherwise(number)
+    return placed.withColumn("batch", number).drop("place")

@@ -247,15 +247,14 @@ SELECT l AS "left", r AS "right", a.label = b.label AS same_event, a.label = b.l
 
 
 def top_pairs(spark, sf_dir):
-    """139, 140: of pairs of documents that share a language, source and length class the 2 longest of each left."""
-    a = articles(spark, sf_dir).select("id", "lang", "source", (F.col("n_chars") % 10).alias("c"), "n_chars")
-    l, r = (a.select("lang", "source", "c", F.col("id").alias(f"{s}id"), F.col("n_chars").alias(f"{s}n")) for s in "lr")
-    found = l.join(r, ["lang", "source", "c"]).filter("lid < rid").select(F.col("lid").alias("left"), F.col("rid").alias("right"), text.pair_key(F.col("lid").cast("string"), F.col("rid").cast("string")).alias("pair_id"), (F.col("ln") + F.col("rn")).alias("score"), F.lit(1.0).alias("semantic"))
-    return ranking.selected_pairs(found, 500, 2).select("left", "right", "score", F.col("rank").cast("bigint").alias("rank"))
+    """139, 140: of the subject edges whose ends aren't at one time, and of at least a score, the 2 best of each left."""
+    edges = pairs.subject_time_edges(_candidates(spark, sf_dir), 2, 5)
+    found = edges.select(F.col("left_article_id").alias("left"), F.col("right_article_id").alias("right"), text.pair_key(F.col("left_article_id").cast("string"), F.col("right_article_id").cast("string")).alias("pair_id"), F.col("subject_score").alias("score"), F.when(F.col("gap") > 0, 1.0).alias("semantic"))
+    return ranking.selected_pairs(found, 20, 2).select("left", "right", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-TOP_PAIRS = f"""WITH {ARTICLES_SQL}, p AS (SELECT l.id AS l, r.id AS r, l.n_chars + r.n_chars AS score, least(l.id::VARCHAR, r.id::VARCHAR) || '::' || greatest(l.id::VARCHAR, r.id::VARCHAR) AS k FROM articles l JOIN articles r ON l.lang = r.lang AND l.source = r.source AND l.n_chars % 10 = r.n_chars % 10 AND l.id < r.id),
-q AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, k) AS rank FROM p WHERE score >= 500) SELECT l AS "left", r AS "right", score, rank FROM q WHERE rank <= 2"""
+TOP_PAIRS = f"""WITH p AS (SELECT left_article_id AS l, right_article_id AS r, subject_score AS score, least(left_article_id::VARCHAR, right_article_id::VARCHAR) || '::' || greatest(left_article_id::VARCHAR, right_article_id::VARCHAR) AS k FROM ({SUBJECT_EDGES}) WHERE gap > 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, k) AS rank FROM p WHERE score >= 20) SELECT l AS "left", r AS "right", score, rank FROM q WHERE rank <= 2"""
 
 
 def rule_clusters(spark, sf_dir):

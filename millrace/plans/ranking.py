@@ -321,14 +321,16 @@ SELECT idx, points::BIGINT AS points FROM r WHERE points > 0 ORDER BY r.points D
 
 
 def review_queue(spark, sf_dir):
-    """34, 161: review items of the lowest margins, in batches of 40, 40 and 20."""
-    o = table(spark, sf_dir, "orders").orderBy("o_totalprice", "o_orderkey").limit(100)
+    """34, 161: review items of the fifth of orders with the lowest margins, in batches of two, two and one fifth of the queue."""
+    o = ranking.lowest_percent(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", 20)
     rows = o.select(F.col("o_orderkey").cast("string").alias("article_id"), F.col("o_orderstatus").alias("baseline"), F.col("o_totalprice").alias("margin"), F.array("o_orderpriority").alias("candidates"), F.lit("candidate_only").alias("status"))
-    return ranking.batches(ranking.review_items(rows, "company"), ["svc_margin", "article_id"], [40, 40, 20]).select("review_id", "article_id", scaled("priority").alias("priority"), F.col("batch").cast("bigint").alias("batch"))
+    n = rows.count()
+    return ranking.batches(ranking.review_items(rows, "company"), ["svc_margin", "article_id"], [n * 2 // 5, n * 2 // 5, n - n * 2 // 5 * 2]).select("review_id", "article_id", scaled("priority").alias("priority"), F.col("batch").cast("bigint").alias("batch"))
 
 
-REVIEW_QUEUE = f"""WITH o AS (SELECT o_orderkey::VARCHAR AS a, o_orderstatus AS s, o_totalprice AS m, o_orderpriority AS c, row_number() OVER (ORDER BY o_totalprice, o_orderkey::VARCHAR) AS k FROM (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100))
-SELECT 'RV-' || substr(sha256(concat_ws('|', 'company', a, s, c, 'candidate_only', 'low_margin_top20pct')), 1, 16) AS review_id, a AS article_id, {scaled_sql('1 - (k - 1) / 100')} AS priority, CASE WHEN k <= 40 THEN 1 WHEN k <= 80 THEN 2 ELSE 3 END::BIGINT AS batch FROM o"""
+REVIEW_QUEUE = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS p, count(*) OVER () AS n FROM orders),
+q AS (SELECT o_orderkey::VARCHAR AS a, o_orderstatus AS s, o_orderpriority AS c, row_number() OVER (ORDER BY o_totalprice, o_orderkey::VARCHAR) AS k, count(*) OVER () AS n FROM o WHERE p <= n * 20 // 100)
+SELECT 'RV-' || substr(sha256(concat_ws('|', 'company', a, s, c, 'candidate_only', 'low_margin_top20pct')), 1, 16) AS review_id, a AS article_id, {scaled_sql('1 - (k - 1) / n')} AS priority, CASE WHEN k <= n * 2 // 5 THEN 1 WHEN k <= n * 2 // 5 * 2 THEN 2 ELSE 3 END::BIGINT AS batch FROM q"""
 
 
 def holdout_sides(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import lexicon as L
 from millrace.functions import rules, similarity, text
+from millrace.operators.pairs import like_pairs
 from millrace.plans.bindings import ARTICLES_SQL, NEWS_SQL, articles, news
 from millrace.session import table
 
@@ -83,19 +84,22 @@ SELECT id, md5(concat_ws(' ', nullif({clean_sql('title')}, ''), nullif({clean_sq
 
 
 def title_pairs(spark, sf_dir):
-    """57, 58, 64: pairs of a language, source and length class with the sizes of their bigram and token overlaps."""
-    a = articles(spark, sf_dir).select("id", "lang", "source", (F.col("n_chars") % 10).alias("c"), text.char_grams("title").alias("g"), text.tokens("title").alias("t"))
-    l, r = (a.select("lang", "source", "c", *(F.col(x).alias(f"{s}{x}") for x in ("id", "g", "t"))) for s in "lr")
-    pairs = l.join(r, ["lang", "source", "c"]).filter("lid < rid")
-    shared = lambda x: F.size(F.array_intersect(f"l{x}", f"r{x}")).cast("bigint")
-    return pairs.select(text.pair_key(F.col("lid").cast("string"), F.col("rid").cast("string")).alias("pair"), shared("g").alias("shared_grams"), shared("t").alias("shared_tokens"), (similarity.jaccard(F.col("lg"), F.col("rg")) >= 0.5).alias("alike"))
-
-
-TITLE_PAIRS = f"""WITH {ARTICLES_SQL}, g AS (SELECT id, lang, source, n_chars % 10 AS c, CASE WHEN length(p) = 0 THEN []::VARCHAR[] WHEN length(p) < 2 THEN [p] ELSE list_distinct(list_transform(range(1, length(p)), lambda i: substring(p, i, 2))) END AS g,
-  list_distinct(list_filter(regexp_split_to_array({clean_sql('title')}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]+'), lambda x: length(x) >= 2)) AS t FROM (SELECT *, regexp_replace(title, '{SP}', '', 'g') AS p FROM articles))
+    """57, 58, 64: different titles of a language and source that have half of their words in common, with the sizes of their overlaps; a title stands for all its documents by the smallest id."""
+    titles = articles(spark, sf_dir).groupBy("lang", "source", "title").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
+    rows = titles.select("id", "members", F.to_json(F.array("lang", "source")).alias("kind"), text.char_grams("title").alias("g"), text.tokens("title").alias("words"))
+    found = like_pairs(rows, 0.5)
+    shared = lambda x: F.size(F.array_intersect(f"l_{x}", f"r_{x}")).cast("bigint")
+    pair = text.pair_key(F.col("l_id").cast("string"), F.col("r_id").cast("string"))
+    return found.select(pair.alias("pair"), shared("g").alias("shared_grams"), shared("words").alias("shared_tokens"), (similarity.jaccard(F.col("l_g"), F.col("r_g")) >= 0.5).alias("alike"), (F.col("l_members") * F.col("r_members")).alias("documents"))
+
+
+TITLE_PAIRS = f"""WITH {ARTICLES_SQL}, c AS (SELECT lang, source, title, min(id) AS id, count(*) AS n, regexp_replace(title, '{SP}', '', 'g') AS p FROM articles GROUP BY ALL),
+g AS (SELECT id, n, lang, source, CASE WHEN length(p) = 0 THEN []::VARCHAR[] WHEN length(p) < 2 THEN [p] ELSE list_distinct(list_transform(range(1, length(p)), lambda i: substring(p, i, 2))) END AS g,
+  list_distinct(list_filter(regexp_split_to_array({clean_sql('title')}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]+'), lambda x: length(x) >= 2)) AS t FROM c)
 SELECT least(l.id::VARCHAR, r.id::VARCHAR) || '::' || greatest(l.id::VARCHAR, r.id::VARCHAR) AS pair, len(list_intersect(l.g, r.g))::BIGINT AS shared_grams, len(list_intersect(l.t, r.t))::BIGINT AS shared_tokens,
-  CASE WHEN len(l.g) = 0 OR len(r.g) = 0 THEN false ELSE len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))) >= 0.5 END AS alike
-FROM g l JOIN g r USING (lang, source, c) WHERE l.id < r.id"""
+  CASE WHEN len(l.g) = 0 OR len(r.g) = 0 THEN false ELSE len(list_intersect(l.g, r.g)) / (len(l.g) + len(r.g) - len(list_intersect(l.g, r.g))) >= 0.5 END AS alike, l.n * r.n AS documents
+FROM g l JOIN g r ON l.lang IS NOT DISTINCT FROM r.lang AND l.source IS NOT DISTINCT FROM r.source AND l.id < r.id
+WHERE len(l.t) > 0 AND len(r.t) > 0 AND 2 * len(list_intersect(l.t, r.t)) >= len(l.t) + len(r.t) - len(list_intersect(l.t, r.t))"""
 
 
 def identities(spark, sf_dir):

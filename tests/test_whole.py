@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import clustering, pairs
 from millrace.plans import joining, learned
+from millrace.plans import ranking as ranking_queries
 from millrace.plans.bindings import news
 
 T = datetime.datetime(2024, 1, 1)
@@ -72,3 +73,23 @@ def test_rule_decisions_over_all_pairs_without_common_entity(spark, monkeypatch)
     assert apart.count() > 0
     found = clustering.all_rule_decisions(df)
     assert _merged(found) == _merged(every) and found.count() == found.select("left", "right").distinct().count()
+
+
+def test_like_pairs_equal_all_pairs(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, r.choice(["e", "f", None]), r.sample(words, r.randint(0, 6))) for i in range(120)] + [(i, "e", words[:3]) for i in range(120, 160)]
+    alike = lambda x, y: x and y and 2 * len(set(x) & set(y)) >= len(set(x) | set(y))
+    expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and alike(a[2], b[2])}
+    monkeypatch.setattr(pairs, "MEETING", 4)  # groups are dealt into several blocks
+    found = pairs.like_pairs(spark.createDataFrame(rows, "id long, kind string, words array<string>"), 0.5)
+    assert {(x["l_id"], x["r_id"]) for x in found.collect()} == expected and found.count() == len(expected)
+    assert pairs.like_pairs(spark.createDataFrame([], "id long, kind string, words array<string>"), 0.5).count() == 0
+
+
+def test_review_queue_takes_a_share_of_all_orders(spark, tmp_path):
+    rows = [(i, "O", "p", float(i * 37 % 101)) for i in range(101)]
+    folder = _tables(spark, tmp_path, orders=(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double"))
+    found = ranking_queries.review_queue(spark, folder).collect()
+    assert {int(x["article_id"]) for x in found} == {r[0] for r in rows if r[3] < 20}
+    assert Counter(x["batch"] for x in found) == {1: 8, 2: 8, 3: 4}
