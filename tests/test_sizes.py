@@ -28,3 +28,7 @@ def _joins(df):
 
 def test_edge_recall_broadcasts_no_exploded_rows(spark, tmp_path):
     assert _joins(joining.edge_recall(spark, _events(spark, tmp_path))) == {"SortMergeJoin"}
+
+
+def test_subject_edges_broadcasts_no_exploded_rows(spark, tmp_path):
+    assert _joins(joining.subject_edges(spark, _events(spark, tmp_path))) == {"SortMergeJoin"}
