@@ -32,3 +32,7 @@ def test_edge_recall_broadcasts_no_exploded_rows(spark, tmp_path):
 
 def test_subject_edges_broadcasts_no_exploded_rows(spark, tmp_path):
     assert _joins(joining.subject_edges(spark, _events(spark, tmp_path))) == {"SortMergeJoin"}
+
+
+def test_top_pairs_broadcasts_no_exploded_rows(spark, tmp_path):
+    assert _joins(joining.top_pairs(spark, _events(spark, tmp_path))) == {"SortMergeJoin"}
