@@ -84,17 +84,28 @@ def lifecycles(evidence_rows: DataFrame, cfg: Lifecycle = DEFAULTS.lifecycle) ->
     return scored.select("cluster_id", F.size("evidence").cast("bigint").alias("n_evidence"), last["stage"].alias("stage"), last["claim_status"].alias("claim_status"), F.element_at("scores", -1).alias("score"), snapshots.alias("snapshots"), "evidence")
 
 
-def credibility(members: DataFrame, now: Column | None = None) -> DataFrame:
+def _summed(members: DataFrame, order: str, **values: Column) -> DataFrame:
+    """members with each value, not negative, summed through the row in its cluster's order: the largest is the sum, whose last bits don't depend on how rows were dealt."""
+    so_far = W.partitionBy("cluster_id").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return members.withColumns({k: F.sum(v).over(so_far) for k, v in values.items()})
+
+
+def credibility(members: DataFrame, now: Column | None = None, order: str | None = None) -> DataFrame:
     """members (cluster_id, title, publish_time, source, content, entity, duplicate_flag) -> the parts and the sum of each cluster's credibility.
 
     Without `now` recency is measured from the cluster's own latest date, so it is 1 for
-    every dated cluster.
+    every dated cluster. With `order`, a column of unique values, averages of doubles are
+    summed in that order, else in any.
     """
     filled = sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0) for c in ("title", "publish_time", "source", "content", "entity")), F.lit(0)) / 5
     authority = rules.source_authority("source")
+    average = {"authority": F.avg(authority), "filled": F.avg(filled)}
+    if order is not None:
+        members = _summed(members.select("cluster_id", "title", "publish_time", "source", "content", "entity", "duplicate_flag", order), order, _authority=authority, _filled=filled)
+        average = {k: F.max(f"_{k}") / F.count(F.lit(1)) for k in average}
     base = members.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(authority).alias("source_authority"), F.least(F.lit(1.0), F.count_distinct(F.nullif("source", F.lit(""))) / 3).alias("multi_source_consistency"),
-        F.when(F.max(authority) >= 0.9, 1.0).otherwise(0.0).alias("official_endorsement"), F.avg(filled).alias("content_completeness"),
+        F.count(F.lit(1)).alias("n"), average["authority"].alias("source_authority"), F.least(F.lit(1.0), F.count_distinct(F.nullif("source", F.lit(""))) / 3).alias("multi_source_consistency"),
+        F.when(F.max(authority) >= 0.9, 1.0).otherwise(0.0).alias("official_endorsement"), average["filled"].alias("content_completeness"),
         F.least(F.lit(0.2), F.avg(rules.duplicate_flagged("duplicate_flag").cast("int")) * 0.1).alias("duplicate_penalty"), F.max("publish_time").alias("latest"),
     )
     anchor = F.col("latest") if now is None else now
@@ -125,10 +136,10 @@ def clusters(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id").agg(first.alias("r"), named["entity"].alias("company"), F.min("publish_time").alias("start_time"), F.max("publish_time").alias("latest_time"), F.array_sort(F.collect_list("article_id")).alias("article_ids"), F.avg("confidence").alias("cluster_confidence")).select("cluster_id", F.coalesce("company", F.lit("")).alias("company"), F.col("r.event_type").alias("event_type"), "start_time", "latest_time", "article_ids", F.col("r.article_id").alias("representative_id"), F.col("r.evidence_sentence").alias("representative_evidence"), "cluster_confidence")
 
 
-def alerts(members: DataFrame, cluster_rows: DataFrame, now: Column | None = None) -> DataFrame:
+def alerts(members: DataFrame, cluster_rows: DataFrame, now: Column | None = None, order: str | None = None) -> DataFrame:
     """An alert per cluster: credibility, severity, direction, level and its first five sources."""
     sources = members.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("article_id", F.when(F.coalesce("source", F.lit("")) == "", L.UNKNOWN_SOURCE).otherwise(F.col("source")).alias("source"), F.coalesce(F.date_format("publish_time", "yyyy-MM-dd"), F.lit("")).alias("date"), F.when(rules.source_authority("source") >= 0.9, "官方/权威").otherwise("媒体/其他").alias("type")))), 1, 5).alias("evidence_sources"))
-    parts = credibility(members, now).join(directions(members), "cluster_id").join(sources, "cluster_id")
+    parts = credibility(members, now, order).join(directions(members), "cluster_id").join(sources, "cluster_id")
     joined = cluster_rows.join(parts, "cluster_id").withColumn("severity", rules.severity("event_type"))
     named = joined.withColumn("risk_level", rules.alert_level("credibility", "severity", "direction"))
     who = F.when(F.col("company") == "", "相关公司").otherwise(F.col("company"))

@@ -4,7 +4,10 @@ import datetime
 import os
 import re
 
-from millrace.plans import joining
+from oracle import assert_same, connect
+from pyspark.sql import functions as F
+
+from millrace.plans import incidents, joining
 
 T = datetime.datetime(2024, 1, 1)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -36,3 +39,18 @@ def test_subject_edges_broadcasts_no_exploded_rows(spark, tmp_path):
 
 def test_top_pairs_broadcasts_no_exploded_rows(spark, tmp_path):
     assert _joins(joining.top_pairs(spark, _events(spark, tmp_path))) == {"SortMergeJoin"}
+
+
+def _dealt(spark, folder):
+    """Events of sf0.1 in order for DuckDB, and dealt over files for Spark."""
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").filter("user_id < 400")
+    e.coalesce(1).sort("event_id").write.parquet(f"{folder}/a/events.parquet")
+    e.repartition(7, F.hash("event_id")).write.parquet(f"{folder}/b/events.parquet")
+    duck = connect(f"{folder}/a")
+    duck.sql("SET threads = 1")  # with more the SQL's own sums depend on who took which rows
+    return f"{folder}/b", duck
+
+
+def test_cluster_credibility_sums_in_order(spark, tmp_path):
+    folder, duck = _dealt(spark, tmp_path)
+    assert_same(incidents.cluster_credibility(spark, folder), duck, incidents.CLUSTER_CREDIBILITY)
