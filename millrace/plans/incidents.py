@@ -111,7 +111,7 @@ CLUSTER_CREDIBILITY = f"WITH {MEMBERS}, {CREDIBILITY_SQL} SELECT cluster_id, n,
 def incident_alerts(spark, sf_dir):
     """188, 189: the alert of every cluster. The flagship: whose incidents are corroborated and severe, and how credible they are."""
     p = _predicted(spark, sf_dir)
-    return lifecycle.alerts(p, lifecycle.clusters(p)).select("cluster_id", "company", "event_type", "risk_level", "impact_direction", scaled("credibility").alias("credibility"), "severity", "related_article_count")
+    return lifecycle.alerts(p, lifecycle.clusters(p), order="id").select("cluster_id", "company", "event_type", "risk_level", "impact_direction", scaled("credibility").alias("credibility"), "severity", "related_article_count")
 
 
 ALERTS_SQL = f"""rep AS (SELECT cluster_id, max(kind) FILTER (k = 1) AS event_type, coalesce(arg_min(entity, article_id) FILTER (entity <> ''), '') AS company FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, article_id) AS k FROM predicted) GROUP BY 1),

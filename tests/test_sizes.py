@@ -54,3 +54,8 @@ def _dealt(spark, folder):
 def test_cluster_credibility_sums_in_order(spark, tmp_path):
     folder, duck = _dealt(spark, tmp_path)
     assert_same(incidents.cluster_credibility(spark, folder), duck, incidents.CLUSTER_CREDIBILITY)
+
+
+def test_incident_alerts_sum_in_order(spark, tmp_path):
+    folder, duck = _dealt(spark, tmp_path)
+    assert_same(incidents.incident_alerts(spark, folder), duck, incidents.INCIDENT_ALERTS)
