@@ -7,6 +7,7 @@ import re
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
+from millrace.operators import pairs
 from millrace.plans import incidents, joining
 
 T = datetime.datetime(2024, 1, 1)
@@ -59,3 +60,17 @@ def test_cluster_credibility_sums_in_order(spark, tmp_path):
 def test_incident_alerts_sum_in_order(spark, tmp_path):
     folder, duck = _dealt(spark, tmp_path)
     assert_same(incidents.incident_alerts(spark, folder), duck, incidents.INCIDENT_ALERTS)
+
+
+def test_duplicate_pairs_take_ties_as_their_sql(spark, tmp_path):
+    rows = [(i * 1080 + 5, f"text {i}", "en", "s", 6) for i in range(60)]  # all at one time: 1,770 pairs, of which 500 are taken
+    folder = _tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert_same(joining.duplicate_pairs(spark, folder), connect(folder), joining.DUPLICATE_PAIRS)
+
+
+def test_hard_negatives_take_each_pair_once(spark):
+    rows = [("g", "s", "x", "a", T), ("h", "s", "y", "b", T), ("g", "u", "x", "a", T), ("h", "u", "y", "b", T), ("h", "u", "z", "c", T + datetime.timedelta(hours=30)), ("k", "u", "v", "d", T + datetime.timedelta(days=3))]
+    df = spark.createDataFrame(rows, "group string, subject string, id string, print string, ts timestamp_ntz")
+    found = [(r["left_id"], r["right_id"], r["subject"]) for r in pairs.hard_negatives(df, 2, 2).collect()]
+    assert found == [("x", "y", "s"), ("x", "z", "u")]
+    assert pairs.hard_negatives(df, 2, 100).count() == 3  # z and v of different groups within two days, too
