@@ -1,6 +1,8 @@
 """What shows only at size: plans that would fill the driver, order of sums, order of ties."""
 
 import datetime
+import hashlib
+import itertools
 import os
 import re
 
@@ -74,3 +76,25 @@ def test_hard_negatives_take_each_pair_once(spark):
     found = [(r["left_id"], r["right_id"], r["subject"]) for r in pairs.hard_negatives(df, 2, 2).collect()]
     assert found == [("x", "y", "s"), ("x", "z", "u")]
     assert pairs.hard_negatives(df, 2, 100).count() == 3  # z and v of different groups within two days, too
+
+
+def test_positive_pairs_sort_few_and_lose_none(spark, monkeypatch):
+    ids = {"a": range(300), "b": range(1000, 1040), "c": range(2000, 2002), "d": [3000]}
+    rows = [(g, i) for g in ids for i in ids[g]]
+    digest = lambda p: hashlib.sha256(f"42:{p}".encode()).hexdigest()
+    expected = {(g, *p) for g in ids for p in sorted(itertools.combinations(ids[g], 2), key=lambda p: digest(f"{p[0]}::{p[1]}"))[:5]}
+    df = spark.createDataFrame(rows, "group string, id long")
+    own, sorted_ = pairs._hashed_pairs, []
+
+    def counted(*args):
+        out = own(*args)
+        sorted_.append(out.count())
+        return out
+
+    monkeypatch.setattr(pairs, "_hashed_pairs", counted)
+    monkeypatch.setattr(pairs, "DEALT", 32)  # groups are dealt into several blocks
+    for spare in (16, 1):  # with 1 a group may fall short and is done again
+        monkeypatch.setattr(pairs, "SPARE", spare)
+        found = [(r["group"], r["left"], r["right"]) for r in pairs.positive_pairs(df, most=5).collect()]
+        assert len(found) == len(expected) and set(found) == expected
+    assert sorted_[0] < 400  # of 45,631 pairs
