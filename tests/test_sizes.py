@@ -98,3 +98,25 @@ def test_positive_pairs_sort_few_and_lose_none(spark, monkeypatch):
         found = [(r["group"], r["left"], r["right"]) for r in pairs.positive_pairs(df, most=5).collect()]
         assert len(found) == len(expected) and set(found) == expected
     assert sorted_[0] < 400  # of 45,631 pairs
+
+
+def _shuffled_bytes(spark, act):
+    """Bytes that all stages of act() write for shuffles."""
+    jvm, context = spark._jvm, spark.sparkContext
+
+    def written():
+        context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    act()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_rule_clusters_sends_rows_not_pairs(spark, tmp_path):
+    rows = [(i, T + datetime.timedelta(minutes=i), 1, "click", 1.0, "") for i in range(300)]  # 44,850 pairs of one entity
+    folder = _tables(spark, tmp_path, events=(rows, EVENTS))
+    found = []
+    assert _shuffled_bytes(spark, lambda: found.append(joining.rule_clusters(spark, folder).count())) < 200_000
+    assert found == [44_850]
