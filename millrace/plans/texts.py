@@ -8,7 +8,7 @@ from millrace import lexicon as L
 from millrace.functions import rules, similarity, text
 from millrace.operators.pairs import like_pairs
 from millrace.plans.bindings import ARTICLES_SQL, NEWS_SQL, articles, news
-from millrace.session import table
+from millrace.session import cut, table
 
 SP = r"[\s\x{3000}\x{a0}\x{85}\x{2028}\x{2029}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x0b\x1c-\x1f]+"
 
@@ -86,11 +86,10 @@ SELECT id, md5(concat_ws(' ', nullif({clean_sql('title')}, ''), nullif({clean_sq
 def title_pairs(spark, sf_dir):
     """57, 58, 64: different titles of a language and source that have half of their words in common, with the sizes of their overlaps; a title stands for all its documents by the smallest id."""
     titles = articles(spark, sf_dir).groupBy("lang", "source", "title").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
-    rows = titles.select("id", "members", F.to_json(F.array("lang", "source")).alias("kind"), text.char_grams("title").alias("g"), text.tokens("title").alias("words"))
-    found = like_pairs(rows, 0.5)
-    shared = lambda x: F.size(F.array_intersect(f"l_{x}", f"r_{x}")).cast("bigint")
+    rows = cut(titles.select("id", "members", F.to_json(F.array("lang", "source")).alias("kind"), "title"))  # texts are read once
+    found = like_pairs(rows.withColumn("words", text.tokens("title")), 0.5).withColumn("l_g", text.char_grams("l_title")).withColumn("r_g", text.char_grams("r_title"))
     pair = text.pair_key(F.col("l_id").cast("string"), F.col("r_id").cast("string"))
-    return found.select(pair.alias("pair"), shared("g").alias("shared_grams"), shared("words").alias("shared_tokens"), (similarity.jaccard(F.col("l_g"), F.col("r_g")) >= 0.5).alias("alike"), (F.col("l_members") * F.col("r_members")).alias("documents"))
+    return found.select(pair.alias("pair"), F.size(F.array_intersect("l_g", "r_g")).cast("bigint").alias("shared_grams"), F.col("shared").alias("shared_tokens"), (similarity.jaccard(F.col("l_g"), F.col("r_g")) >= 0.5).alias("alike"), (F.col("l_members") * F.col("r_members")).alias("documents"))
 
 
 TITLE_PAIRS = f"""WITH {ARTICLES_SQL}, c AS (SELECT lang, source, title, min(id) AS id, count(*) AS n, regexp_replace(title, '{SP}', '', 'g') AS p FROM articles GROUP BY ALL),

@@ -10,7 +10,7 @@ from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from millrace.operators import pairs
-from millrace.plans import incidents, joining
+from millrace.plans import incidents, joining, texts
 
 T = datetime.datetime(2024, 1, 1)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -120,3 +120,10 @@ def test_rule_clusters_sends_rows_not_pairs(spark, tmp_path):
     found = []
     assert _shuffled_bytes(spark, lambda: found.append(joining.rule_clusters(spark, folder).count())) < 200_000
     assert found == [44_850]
+
+
+def test_title_pairs_send_words_not_grams(spark, tmp_path):
+    said = [" ".join(f"word{(i * 7 + k * (1 + i % 5)) % 23}" for k in range(8)) for i in range(400)]
+    rows = [(i, f"{said[i]} {i}", "en", "s", 60) for i in range(400)]
+    folder = _tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert _shuffled_bytes(spark, lambda: assert_same(texts.title_pairs(spark, folder), connect(folder), texts.TITLE_PAIRS)) < 500_000
