@@ -4,13 +4,15 @@ import datetime
 import hashlib
 import itertools
 import os
+import random
 import re
 
 from oracle import assert_same, connect
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from millrace.operators import pairs
-from millrace.plans import incidents, joining, texts
+from millrace.operators import models, pairs
+from millrace.plans import incidents, joining, learned, texts
 
 T = datetime.datetime(2024, 1, 1)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -127,3 +129,25 @@ def test_title_pairs_send_words_not_grams(spark, tmp_path):
     rows = [(i, f"{said[i]} {i}", "en", "s", 60) for i in range(400)]
     folder = _tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert _shuffled_bytes(spark, lambda: assert_same(texts.title_pairs(spark, folder), connect(folder), texts.TITLE_PAIRS)) < 500_000
+
+
+def test_grams_are_counted_as_hashing_tf_counts_them(spark, monkeypatch):
+    r = random.Random(1)
+    rows = [(i, "".join(r.choice(["a", "b", " ", "é", "好", "\U0001f600", "\t", "　", "A"]) for _ in range(r.randint(0, 40)))) for i in range(200)] + [(200, None), (201, ""), (202, "x")]
+    grams = {}
+    for i, said in rows:  # words padded by spaces; of one shorter than an n-gram the whole
+        words = [f" {w} " for w in (said or "").lower().split()]
+        grams[i] = [w[k : k + n] for n in (2, 3, 4) for w in words for k in range(max(1, len(w) - n + 1))]
+    tf = HashingTF(inputCol="g", outputCol="tf", numFeatures=models.FEATURES)
+    expected = {x["id"]: x["tf"] for x in tf.transform(spark.createDataFrame(list(grams.items()), "id long, g array<string>")).collect()}
+    df = spark.createDataFrame(rows, "id long, t string")
+    for piece in (1 << 20, 30):  # with 30 bytes longer texts are counted in pieces
+        monkeypatch.setattr(models, "PIECE", piece)
+        assert {x["id"]: x["tf"] for x in models.gram_counts(df, "t").collect()} == expected
+
+
+def test_text_model_makes_no_array_of_grams(spark, tmp_path):
+    rows = [(i, f"{said} {i}", said, "s", 9) for i, said in enumerate(["und", "the"] * 8)]
+    folder = _tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    plan = learned.language_model(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "flatten(" not in plan and "MapInArrow" in plan
