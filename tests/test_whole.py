@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter
 
+from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from millrace.operators import clustering, pairs
@@ -42,6 +43,15 @@ def test_agent_decisions_judges_all_news(spark, tmp_path):
     assert sum(n for n, _ in found.values()) == len(rows)
 
 
+def test_edge_recall_finds_more_than_a_few_edges_of_an_event(spark, tmp_path):
+    rows = [(i, T + datetime.timedelta(hours=4 * i), 1, "click", 1.0, "{}") for i in range(30)]  # each has 12 others before it within 2 days
+    odd = [(100, T, 1, "click", 1.0, None), (101, T, 1, "click", 1.0, None), (102, T, None, "click", 1.0, "{}"), (103, None, 1, "click", 1.0, "{}"), (None, T, 1, "click", 1.0, "{}")]
+    folder = _tables(spark, tmp_path, events=(rows + odd, EVENTS))
+    assert_same(joining.edge_recall(spark, folder), connect(folder), joining.EDGE_RECALL)
+    near = sum(4 * (j - i) <= 48 for j in range(30) for i in range(j))
+    assert joining.edge_recall(spark, folder).first().asDict() == {"positives": 30 * 31 // 2, "found": near, "eligible": near, "eligible_found": near}
+
+
 def _merged(decisions):
     return {(r["left"], r["right"]): round(r["score"], 9) for r in decisions.filter("merged").collect()}
 
