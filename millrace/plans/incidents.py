@@ -96,7 +96,8 @@ SELECT cluster_id, coalesce(arg_min(entity, article_id) FILTER (entity <> ''), '
 def cluster_credibility(spark, sf_dir):
     """48, 105-110: the parts and sum of every cluster's credibility, and its direction."""
     m = _members(spark, sf_dir)
-    c = lifecycle.credibility(m, order="id").join(lifecycle.directions(m), "cluster_id")
+    d = lifecycle.directions(m).withColumnRenamed("cluster_id", "directed")
+    c = lifecycle.credibility(m, order="id").join(d, F.col("cluster_id").eqNullSafe(F.col("directed")))  # events without user are a cluster, as in the SQL
     return c.select("cluster_id", "n", scaled("source_authority").alias("authority"), scaled("multi_source_consistency").alias("sources"), "official_endorsement", scaled("content_completeness").alias("complete"), scaled("duplicate_penalty").alias("duplicates"), "recency_score", scaled("credibility").alias("credibility"), "direction")
 
 

@@ -9,7 +9,7 @@ from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from millrace.operators import clustering, pairs
-from millrace.plans import joining, learned
+from millrace.plans import incidents, joining, learned
 from millrace.plans import ranking as ranking_queries
 from millrace.plans.bindings import news
 
@@ -52,6 +52,13 @@ def test_edge_recall_finds_more_than_a_few_edges_of_an_event(spark, tmp_path):
     assert joining.edge_recall(spark, folder).first().asDict() == {"positives": 30 * 31 // 2, "found": near, "eligible": near, "eligible_found": near}
 
 
+def test_cluster_credibility_keeps_events_without_user(spark, tmp_path):
+    rows = [(i, T, None if i % 3 == 0 else 1, "click", 1.0, "") for i in range(12)]
+    folder = _tables(spark, tmp_path, events=(rows, EVENTS))
+    assert_same(incidents.cluster_credibility(spark, folder), connect(folder), incidents.CLUSTER_CREDIBILITY)
+    assert incidents.cluster_credibility(spark, folder).filter("cluster_id IS NULL").first()["n"] == 4
+
+
 def _merged(decisions):
     return {(r["left"], r["right"]): round(r["score"], 9) for r in decisions.filter("merged").collect()}
 
