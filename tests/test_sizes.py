@@ -11,6 +11,7 @@ from oracle import assert_same, connect
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
+from millrace.functions import similarity
 from millrace.operators import models, pairs
 from millrace.plans import incidents, joining, learned, texts
 
@@ -124,6 +125,19 @@ def test_rule_clusters_sends_rows_not_pairs(spark, tmp_path):
     assert found == [44_850]
 
 
+def test_sequence_ratios_equal_sequence_matcher(monkeypatch):
+    r = random.Random(2)
+    said = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    pairs_ = [(said(k, n), said(k, n)) for k, n in (("ab", 199), ("ab好", 30), ("ab好\U0001f600 \0x", 60), ("ab好 ", 240)) for _ in range(150)] + [("", ""), ("", "a"), ("a" * 199, "a" * 199), ("a" * 200, "a" * 200)]
+    whole, asked = similarity.SequenceMatcher, []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda *x: asked.append(x) or whole(*x))
+    for together in (4096, 7):
+        monkeypatch.setattr(similarity, "TOGETHER", together)
+        assert list(similarity.sequence_ratios(*map(list, zip(*pairs_)))) == [whole(None, a, b).ratio() for a, b in pairs_]
+    assert all(max(len(x[1]), len(x[2])) >= 200 or x[1:] == ("", "") for x in asked)  # no short text goes through Python
+    assert list(similarity.sequence_ratios([], [])) == []
+
+
 def test_title_pairs_send_words_not_grams(spark, tmp_path):
     said = [" ".join(f"word{(i * 7 + k * (1 + i % 5)) % 23}" for k in range(8)) for i in range(400)]
     rows = [(i, f"{said[i]} {i}", "en", "s", 60) for i in range(400)]
