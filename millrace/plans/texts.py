@@ -87,9 +87,10 @@ def title_pairs(spark, sf_dir):
     """57, 58, 64: different titles of a language and source that have half of their words in common, with the sizes of their overlaps; a title stands for all its documents by the smallest id."""
     titles = articles(spark, sf_dir).groupBy("lang", "source", "title").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
     rows = cut(titles.select("id", "members", F.to_json(F.array("lang", "source")).alias("kind"), "title"))  # texts are read once
-    found = like_pairs(rows.withColumn("words", text.tokens("title")), 0.5).withColumn("l_g", text.char_grams("l_title")).withColumn("r_g", text.char_grams("r_title"))
+    found = like_pairs(rows.select("id", "members", "kind", text.packed("title").alias("packed"), text.tokens("title").alias("words")), 0.5).withColumn("grams", similarity.gram_overlap("l_packed", "r_packed"))
     pair = text.pair_key(F.col("l_id").cast("string"), F.col("r_id").cast("string"))
-    return found.select(pair.alias("pair"), F.size(F.array_intersect("l_g", "r_g")).cast("bigint").alias("shared_grams"), F.col("shared").alias("shared_tokens"), (similarity.jaccard(F.col("l_g"), F.col("r_g")) >= 0.5).alias("alike"), (F.col("l_members") * F.col("r_members")).alias("documents"))
+    alike = (F.col("grams.either") > 0) & (2 * F.col("grams.shared") >= F.col("grams.either"))
+    return found.select(pair.alias("pair"), F.col("grams.shared").alias("shared_grams"), F.col("shared").alias("shared_tokens"), alike.alias("alike"), (F.col("l_members") * F.col("r_members")).alias("documents"))
 
 
 TITLE_PAIRS = f"""WITH {ARTICLES_SQL}, c AS (SELECT lang, source, title, min(id) AS id, count(*) AS n, regexp_replace(title, '{SP}', '', 'g') AS p FROM articles GROUP BY ALL),

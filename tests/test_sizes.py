@@ -145,6 +145,15 @@ def test_title_pairs_send_words_not_grams(spark, tmp_path):
     assert _shuffled_bytes(spark, lambda: assert_same(texts.title_pairs(spark, folder), connect(folder), texts.TITLE_PAIRS)) < 500_000
 
 
+def test_pairs_found_are_spread_over_tasks(spark, tmp_path):
+    rows = [(i, f"alpha beta gamma delta {i}", "en", "s", 60) for i in range(40)] + [(50 + i, t, "en", "s", 9) for i, t in enumerate(["aé 好\U0001f600", "aé 好\U0001f600\t", "\u3000", "", None, "xx", "xx xx", "ab", "a b"])]
+    folder = _tables(spark, tmp_path, documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    df = texts.title_pairs(spark, folder)
+    assert_same(df, connect(folder), texts.TITLE_PAIRS)
+    held = df.withColumn("part", F.spark_partition_id())
+    assert held.count() > 780 and held.select("part").distinct().count() > 4  # the few bytes of these pairs would fit one task
+
+
 def test_grams_are_counted_as_hashing_tf_counts_them(spark, monkeypatch):
     r = random.Random(1)
     rows = [(i, "".join(r.choice(["a", "b", " ", "é", "好", "\U0001f600", "\t", "　", "A"]) for _ in range(r.randint(0, 40)))) for i in range(200)] + [(200, None), (201, ""), (202, "x")]
